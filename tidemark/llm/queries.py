@@ -22,5 +22,32 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.token_store import token_store
+
+    return token_store(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.token_counts import token_counts
+
+    return token_counts(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language_id import language_id
+
+    return language_id(_docs(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op5_token_store": op5_token_store,
+    "op9_token_counts": op9_token_counts,
+    "op10_language_id": op10_language_id,
+}
 ORACLES = {"op1_exact_dedup": OP1_SQL}
