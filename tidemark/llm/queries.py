@@ -22,6 +22,12 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY t)
 """
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix
+
+    return mix(_docs(spark, sf_dir))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -30,6 +36,18 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sharding import shard
+
+    return shard(_docs(spark, sf_dir))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import judge
+
+    return judge(_docs(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,7 +64,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_mixing": op2_mixing,
     "op5_token_store": op5_token_store,
+    "op7_sharding": op7_sharding,
+    "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }
