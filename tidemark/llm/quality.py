@@ -26,7 +26,7 @@ MIN_WORDS = 50
 FENCE = 3
 MIN_GROUP = 100
 #: Slack by measure: per mille, or hundredths of a character.
-SLACK = {"symbol": 60, "line": 150, "repeat": 150, "length": 150}
+SLACK = {"symbol": 60, "line": 400, "repeat": 350, "length": 200}
 LOWER = ("length",)
 
 

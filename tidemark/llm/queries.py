@@ -28,6 +28,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.packing import pack
+
+    return pack(_docs(spark, sf_dir))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,6 +42,12 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.simhash import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.sharding import shard
 
@@ -65,7 +77,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op4_packing": op4_packing,
     "op5_token_store": op5_token_store,
+    "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
