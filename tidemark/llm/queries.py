@@ -28,6 +28,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir))
 
 
+def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.scoring import score
+
+    return score(_docs(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.packing import pack
 
@@ -77,6 +83,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op3_scoring": op3_scoring,
     "op4_packing": op4_packing,
     "op5_token_store": op5_token_store,
     "op6_simhash": op6_simhash,
