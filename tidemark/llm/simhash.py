@@ -175,3 +175,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = placed.join(least, "root").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return prints.join(named, "fp").select("doc_id", hexed, "component_id")
+
+
+def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns unchanged, of one document of each component: that of the smallest doc_id.
+
+    Rows of the staying doc_id all stay, and so do rows without a doc_id, which can't be told apart.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = gone.withColumnRenamed("doc_id", "_gone")
+    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
