@@ -43,4 +43,5 @@ def orderbooks(levels: int = 20) -> T.StructType:
 
 
 def of(dtype: str, levels: int = 20) -> T.StructType:
-    return {"prices": PRICES, "trades": TRADES}.get(dtype) or orderbooks(levels)
+    """A new schema object for a data type."""
+    return T.StructType(list({"prices": PRICES, "trades": TRADES}[dtype])) if dtype in ("prices", "trades") else orderbooks(levels)

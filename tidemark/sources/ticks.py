@@ -102,8 +102,9 @@ def epsilon_json(spark: SparkSession, path: str) -> DataFrame:
 
 def export_json(params: DataFrame, key: str) -> DataFrame:
     """One JSON text of all symbols: the shape the parameter files have.  ``key`` is kappa, lambda or epsilon."""
-    pair = F.map_from_arrays(F.array(F.lit(f"{key}+"), F.lit(f"{key}-")), F.array(f"{key}_p", f"{key}_m"))
-    return params.groupBy().agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", pair.alias("v")))))).alias("value"))
+    rows = F.sort_array(F.collect_list(F.struct("symbol", F.col(f"{key}_p").alias("p"), F.col(f"{key}_m").alias("m"))))
+    entry = lambda r: F.struct(r["symbol"].alias("k"), F.create_map(F.lit(f"{key}+"), r["p"], F.lit(f"{key}-"), r["m"]).alias("v"))
+    return params.groupBy().agg(F.to_json(F.map_from_entries(F.transform(rows, entry))).alias("value"))
 
 
 def read_journal(spark: SparkSession, url_or_path: str, table: str = "trades") -> DataFrame:
