@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof
@@ -42,9 +42,10 @@ def histogram(depths: DataFrame, bins: int = 20, seconds: float = 1800.0) -> Dat
     guess = F.floor(F.col("depth") / F.col("width"))
     down = F.when(F.col("depth") < guess * F.col("width"), guess - 1).when(F.col("depth") >= (guess + 1) * F.col("width"), guess + 1).otherwise(guess)
     d = d.withColumn("bin", F.when(F.col("top") == 0, bins - 1).otherwise(F.least(down, F.lit(bins - 1))).cast("int"))
-    counts = d.groupBy(*KEY, "bin").agg(F.count("*").alias("n"))
-    grid = d.groupBy(*KEY).agg(F.max("width").alias("width")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    full = grid.join(counts, [*KEY, "bin"], "left").withColumn("count", F.coalesce("n", F.lit(0)))
+    counts = d.groupBy(*KEY, "bin").agg(F.count("*").alias("n"), F.max("width").alias("width"))
+    # At most ``bins`` entries a side.
+    sides = counts.groupBy(*KEY).agg(F.max("width").alias("width"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("found"))
+    full = sides.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("count", F.coalesce(F.col("found")[F.col("bin")], F.lit(0)))
     center = (F.col("bin") * F.col("width") + (F.col("bin") + 1) * F.col("width")) / 2
     return full.select(*KEY, "bin", center.alias("center"), "count", (F.col("count") / F.lit(seconds)).alias("intensity"))
 
@@ -54,16 +55,21 @@ def fit(hist: DataFrame) -> DataFrame:
 
     At least three non-empty bins, else nulls.  kappa is not below 0; lambda_0 keeps the unclamped fit's intercept.
     """
-    p = hist.withColumn("w", F.when(F.col("count") > 0, F.col("count").cast("double"))).withColumn("x", F.col("center")).withColumn("y", F.when(F.col("count") > 0, F.ln(F.when(F.col("count") > 0, F.col("intensity")))))
-    s = lambda e: F.sum(F.expr(e))
-    sums = p.groupBy(*KEY).agg(F.count("w").alias("n"), s("w").alias("sw"), s("w*x").alias("sx"), s("w*y").alias("sy"), s("w*x*x").alias("sxx"), s("w*x*y").alias("sxy"))
+    point = F.struct(F.col("center").alias("x"), F.col("count").cast("double").alias("w"), F.ln(F.when(F.col("count") > 0, F.col("intensity"))).alias("y"))
+    # A side's points are as many as bins: residuals need no second pass over the data.
+    p = hist.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.when(F.col("count") > 0, point))).alias("p"))
+
+    def total(e) -> Column:
+        return F.aggregate("p", F.lit(0.0), lambda acc, r: acc + e(r["w"], r["x"], r["y"]))
+
+    sums = p.select(*KEY, "p", F.size("p").alias("n"), total(lambda w, x, y: w).alias("sw"), total(lambda w, x, y: w * x).alias("sx"), total(lambda w, x, y: w * y).alias("sy"), total(lambda w, x, y: w * x * x).alias("sxx"), total(lambda w, x, y: w * x * y).alias("sxy"))
     det = F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx")
     slope = F.try_divide(F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy"), det)
-    line = sums.withColumn("b", F.when(F.col("n") >= 3, slope)).withColumn("a", (F.col("sy") - F.col("b") * F.col("sx")) / F.col("sw")).withColumn("ym", F.col("sy") / F.col("sw"))
-    left = p.join(line.select(*KEY, "a", "b", "ym", "n"), KEY)
-    rest = left.groupBy(*KEY).agg(F.max("n").alias("n_points"), F.max("a").alias("a"), F.max("b").alias("b"), s("w*(y-a-b*x)*(y-a-b*x)").alias("res"), s("w*(y-ym)*(y-ym)").alias("tot"))
-    r2 = F.when(F.col("tot") > 0, 1 - F.col("res") / F.col("tot"))
-    return rest.select(*KEY, F.exp("a").alias("lambda_0"), F.greatest(-F.col("b"), F.when(F.col("b").isNotNull(), 0.0)).alias("kappa"), F.when(F.col("b").isNotNull(), r2).alias("r2"), "n_points")
+    line = sums.withColumn("b", F.when(F.col("n") >= 3, slope)).withColumn("ym", F.try_divide("sy", "sw")).withColumn("a", F.col("ym") - F.col("b") * F.try_divide("sx", "sw"))
+    square = lambda z: z * z
+    rest = line.withColumns({"res": total(lambda w, x, y: w * square(y - F.col("a") - F.col("b") * x)), "tot": total(lambda w, x, y: w * square(y - F.col("ym")))})
+    r2 = F.when(F.col("tot") > 0, 1 - F.col("res") / F.when(F.col("tot") > 0, F.col("tot")))
+    return rest.select(*KEY, F.exp("a").alias("lambda_0"), F.greatest(-F.col("b"), F.when(F.col("b").isNotNull(), 0.0)).alias("kappa"), F.when(F.col("b").isNotNull(), r2).alias("r2"), F.col("n").alias("n_points"))
 
 
 def fit_ols(hist: DataFrame) -> DataFrame:
