@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         app = spark.sparkContext.applicationId
-        base = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="tidemark-"))
+        if app not in _own_dirs:  # a local session, as in tests
+            _own_dirs[app] = tempfile.mkdtemp(prefix="tidemark-")
+            atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
+        base = _own_dirs[app]
     return base.rstrip("/")
 
 
