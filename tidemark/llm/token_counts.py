@@ -3,8 +3,9 @@
 Texts are cut into pre-tokens by the vocabulary's pattern.  Each distinct pre-token is inserted once into a trie whose
 nodes keep the forward state of their prefix: the best score of any segmentation of the prefix, its number of tokens,
 and the vocabulary pieces begun and not ended.  Pre-tokens with a common prefix share those states, so a prefix is
-scored once; the node where a pre-token ends keeps its count.  The trie belongs to one task, holds ``MAX_NODES`` nodes
-at most and starts anew beyond that, so nothing is shuffled and memory is bounded.
+scored once; a pre-token's count is kept when it ends.  The trie belongs to one worker and holds ``MAX_NODES`` nodes at
+most; when it is full it stays as it is, with the frequent prefixes that came first, and further ones are scored from
+where they leave it.  So nothing is shuffled and memory is bounded.
 
 The score of a piece of rank r is -ln(r + 1) - ln(H), a Zipf prior over the public vocabulary (nothing is trained).
 Best is the highest score; of equal scores (to 1e-9) the fewer tokens.
@@ -34,6 +35,8 @@ def load_pieces(path: str) -> dict[bytes, float]:
 
 
 class Node:
+    """A prefix: its best score and count, and the pieces begun in it that can go on, as (subtree, score, count)."""
+
     __slots__ = ("children", "score", "count", "begun")
 
     def __init__(self, score: float, count: int, begun: list) -> None:
@@ -43,45 +46,61 @@ class Node:
 
 class PrefixCounter:
     def __init__(self, pieces: dict[bytes, float], max_nodes: int = MAX_NODES) -> None:
-        self.pieces: dict = {}  # byte -> subtree; None -> score of the piece that ends here
+        self.first: list = [None] * 256  # subtree by first byte; a subtree is [subtree by next byte, score of the piece that ends here]
         for piece, score in pieces.items():
-            at = self.pieces
-            for b in piece:
-                at = at.setdefault(b, {})
-            at[None] = score
+            at = self.first[piece[0]] = self.first[piece[0]] or [{}, None]
+            for b in piece[1:]:
+                at = at[0].setdefault(b, [{}, None])
+            at[1] = score
         self.max_nodes = max_nodes
-        self.clear()
-
-    def clear(self) -> None:
-        self.root, self.nodes, self.scored, self.counts = Node(0.0, 0, []), 1, 0, {}
+        self.root, self.nodes, self.scored = Node(0.0, 0, []), 1, 0
+        self.counts: dict[str, int] = {}
 
     def _extend(self, node: Node, b: int) -> Node:
         best, count, begun = -math.inf, 0, []
-        for at, score, n in [*node.begun, (self.pieces, node.score, node.count)]:
-            below = at.get(b)
-            if below is None:
-                continue
-            begun.append((below, score, n))
-            piece = below.get(None)
-            if piece is not None and (score + piece > best + TIE or score + piece > best - TIE and n + 1 < count):
-                best, count = score + piece, n + 1
-        self.nodes += 1
+        for at, score, n in node.begun:
+            below = at[0].get(b)
+            if below is not None:
+                if below[0]:
+                    begun.append((below, score, n))
+                if below[1] is not None:
+                    score += below[1]
+                    if score > best + TIE or score > best - TIE and n + 1 < count:
+                        best, count = score, n + 1
+        below = self.first[b]
+        if below is not None:
+            score, n = node.score, node.count
+            if below[0]:
+                begun.append((below, score, n))
+            if below[1] is not None:
+                score += below[1]
+                if score > best + TIE or score > best - TIE and n + 1 < count:
+                    best, count = score, n + 1
         self.scored += 1
         return Node(best, count, begun)
 
     def count(self, pre_token: str) -> int:
         found = self.counts.get(pre_token)
         if found is None:
-            raw = pre_token.encode()
-            if self.nodes + len(raw) > self.max_nodes:
-                self.clear()
-            node = self.root
-            for b in raw:
+            node, raw = self.root, pre_token.encode()
+            for i, b in enumerate(raw):
                 child = node.children.get(b)
                 if child is None:
-                    child = node.children[b] = self._extend(node, b)
+                    break
+                node = child
+            else:
+                i = len(raw)
+            keep = self.nodes + len(raw) - i <= self.max_nodes
+            for b in raw[i:]:
+                child = self._extend(node, b)
+                if keep:
+                    node.children[b] = child
                 node = child
-            found = self.counts[pre_token] = node.count
+            if keep:
+                self.nodes += len(raw) - i
+            found = node.count
+            if len(self.counts) < self.max_nodes:
+                self.counts[pre_token] = found
         return found
 
 
