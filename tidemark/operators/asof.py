@@ -29,8 +29,8 @@ def asof(left: DataFrame, right: DataFrame, out: str, payload: list[str], lag_us
     le = left.select(F.col(by).alias("_by"), (sign * F.col("us")).alias("_at"), F.lit(1 if inclusive else 0).alias("_tag"), lefts.alias("_left"))
     bucket = F.floor(F.col("_at") / bucket_us)
     r, le = r.withColumn("_bucket", bucket), le.withColumn("_bucket", bucket)
-    last = r.groupBy("_by", "_bucket").agg(F.max_by("_right", F.struct("_at", "_tie")).alias("_last"))
-    buckets = last.unionByName(le.select("_by", "_bucket").distinct(), allowMissingColumns=True).groupBy("_by", "_bucket").agg(F.first("_last", ignorenulls=True).alias("_last"))
+    both = r.select("_by", "_bucket", "_at", "_tie", "_right").unionByName(le.select("_by", "_bucket"), allowMissingColumns=True)
+    buckets = both.groupBy("_by", "_bucket").agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.struct("_at", "_tie"))).alias("_last"))
     earlier = Window.partitionBy("_by").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     front = buckets.select("_by", "_bucket", F.last("_last", ignorenulls=True).over(earlier).alias("_right")).where("_right is not null")
     front = front.withColumns({"_at": F.lit(_LOWEST), "_tag": F.lit(0), "_tie": F.lit(_LOWEST)})

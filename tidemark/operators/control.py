@@ -1,11 +1,13 @@
 """Optimal depths on an inventory grid.
 
 One-side optimum and the symmetric problem are column expressions (array folds); the asymmetric problem and the full
-(t, q) surface are small dense solves, one symbol a group.
+(t, q) surface are small dense solves, many symbols at once or one a group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -85,16 +87,33 @@ def depths(grid: DataFrame) -> DataFrame:
 
 
 def _neighbours(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([h[:1], h[:-1]]) - h, np.concatenate([h[1:], h[-1:]]) - h
+    """Differences to the lower and the upper neighbour along the last axis, 0 at the bounds."""
+    return np.concatenate([h[..., :1], h[..., :-1]], axis=-1) - h, np.concatenate([h[..., 1:], h[..., -1:]], axis=-1) - h
+
+
+def _newton_steps(jacobians: np.ndarray, f: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.solve(jacobians, -f[..., None])[..., 0]
+    except np.linalg.LinAlgError:  # a singular system takes the plain step, the others theirs
+        out = -f
+        for i, (j, g) in enumerate(zip(jacobians, f, strict=True)):
+            try:
+                out[i] = np.linalg.solve(j, -g)
+            except np.linalg.LinAlgError:
+                pass
+        return out
 
 
 def solve_asymmetric(lam: tuple, kappa: tuple, eps: tuple, horizon: float = 60.0, q_max: int = 3, alpha: float = 0.0, phi: float = 0.0, steps: int = 200, boundary: str = "clamp", clip: bool = False, damping: float = 0.7, tol: float = 1e-8, most: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """h, delta_plus, delta_minus on -q_max..q_max by implicit Euler steps with damped Newton, exact Jacobian.
+    """h, delta_plus, delta_minus on -q_max..q_max, a row for each entry of the parameters' arrays (plus, minus).
 
-    ``boundary``: ``clamp`` keeps the arrival term of the side that can't trade at a bound, with its difference of h
-    at 0; ``indicator`` drops it.  h is shifted to maximum 0 in every iteration, which stops on the step's size.
+    Implicit Euler steps with damped Newton iterations and the exact Jacobian, all rows at once; a row that has settled
+    waits for the others.  ``boundary``: ``clamp`` keeps the arrival term of the side that can't trade at a bound, with
+    its difference of h at 0; ``indicator`` drops it.  h is shifted to maximum 0 in every iteration, which stops on the
+    step's size.
     """
     q = np.arange(-q_max, q_max + 1).astype(float)
+    lam, kappa, eps = (np.array(x, float).reshape(2, -1, 1) for x in (lam, kappa, eps))
     lam, kappa = np.maximum(lam, 0.0), np.maximum(kappa, 1e-8)
     dt = max(horizon / max(int(steps), 1), 1e-6)
     drift = q * (lam[0] * eps[0] - lam[1] * eps[1]) - phi * q * q
@@ -102,43 +121,41 @@ def solve_asymmetric(lam: tuple, kappa: tuple, eps: tuple, horizon: float = 60.0
     if boundary == "indicator":
         live[0, 0] = live[1, -1] = 0.0
 
-    def side(s: int, dh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def side(s: int, dh: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Value and its derivative in dh."""
-        depth = 1 / kappa[s] + eps[s] - dh
-        exponent = np.clip(-kappa[s] * depth, -700, 700)
-        value = lam[s] / kappa[s] * np.exp(exponent)
-        slope = np.where(np.abs(kappa[s] * depth) < 700, kappa[s] * value, 0.0)
+        a, k, e = lam[s][on], kappa[s][on], eps[s][on]
+        depth = 1 / k + e - dh
+        value = a / k * np.exp(np.clip(-k * depth, -700, 700))
+        slope = np.where(np.abs(k * depth) < 700, k * value, 0.0)
         if clip:
-            touch = depth <= 0
-            gain = lam[s] * (dh - eps[s])
-            value, slope = np.where(touch, np.maximum(gain, 0.0), value), np.where(touch, lam[s] * (gain > 0), slope)
+            touch, gain = depth <= 0, a * (dh - e)
+            value, slope = np.where(touch, np.maximum(gain, 0.0), value), np.where(touch, a * (gain > 0), slope)
         return value * live[s], slope * live[s]
 
-    h, n = -alpha * q * q, len(q)
-    inner = np.arange(n)
+    n, rows = len(q), lam.shape[1]
+    h, inner = np.tile(-alpha * q * q, (rows, 1)), np.arange(n)
     for _ in range(max(int(steps), 1)):
-        old = h - h.max()
-        new = old.copy()
+        old = h - h.max(axis=1, keepdims=True)
+        new, on = old.copy(), np.arange(rows)
         for _ in range(most):
-            down, up = _neighbours(new)
-            (vp, sp), (vm, sm) = side(0, down), side(1, up)
-            f = new - old - dt * (vp + vm + drift)
-            if np.abs(f).max() < tol:
+            now = new[on]
+            down, up = _neighbours(now)
+            (vp, sp), (vm, sm) = side(0, down, on), side(1, up, on)
+            f = now - old[on] - dt * (vp + vm + drift[on])
+            far = np.abs(f).max(axis=1) >= tol
+            if not far.any():
                 break
-            jac = np.zeros((n, n))
-            jac[inner[1:], inner[1:] - 1] += sp[1:]
-            jac[inner[1:], inner[1:]] -= sp[1:]
-            jac[inner[:-1], inner[:-1] + 1] += sm[:-1]
-            jac[inner[:-1], inner[:-1]] -= sm[:-1]
-            try:
-                step = np.linalg.solve(np.eye(n) - dt * jac, -f)
-            except np.linalg.LinAlgError:
-                step = -f
-            trial = new + damping * step
-            trial -= trial.max()
-            moved = np.abs(trial - new).max()
-            new = trial
-            if moved < tol:
+            on, now, f, sp, sm = on[far], now[far], f[far], sp[far], sm[far]
+            jac = np.zeros((len(on), n, n))
+            jac[:, inner[1:], inner[1:] - 1] += sp[:, 1:]
+            jac[:, inner[1:], inner[1:]] -= sp[:, 1:]
+            jac[:, inner[:-1], inner[:-1] + 1] += sm[:, :-1]
+            jac[:, inner[:-1], inner[:-1]] -= sm[:, :-1]
+            trial = now + damping * _newton_steps(np.eye(n) - dt * jac, f)
+            trial -= trial.max(axis=1, keepdims=True)
+            new[on] = trial
+            on = on[np.abs(trial - now).max(axis=1) >= tol]
+            if not len(on):
                 break
         h = new
     down, up = _neighbours(h)
@@ -149,13 +166,17 @@ def solve_asymmetric(lam: tuple, kappa: tuple, eps: tuple, horizon: float = 60.0
 def asymmetric(params: DataFrame, q_max: int = 3, boundary: str = "clamp", **options) -> DataFrame:
     """The same surface with a kappa for each side.  Symbols without kappa or epsilon have no rows; lambda defaults to 0."""
     needed = params.where("kappa_p is not null and kappa_m is not null and epsilon_p is not null and epsilon_m is not null")
+    filled = needed.select("symbol", "kappa_p", "kappa_m", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lambda_p", "lambda_m")], "epsilon_p", "epsilon_m")
+    q = np.arange(-q_max, q_max + 1)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0].fillna({"lambda_p": 0.0, "lambda_m": 0.0})
-        h, plus, minus = solve_asymmetric((r.lambda_p, r.lambda_m), (r.kappa_p, r.kappa_m), (r.epsilon_p, r.epsilon_m), q_max=q_max, boundary=boundary, **options)
-        return pd.DataFrame({"symbol": r.symbol, "q": np.arange(-q_max, q_max + 1), "h": h, "delta_plus": plus, "delta_minus": minus, "method": "asymmetric"})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                pair = lambda c: (pdf[f"{c}_p"].to_numpy(), pdf[f"{c}_m"].to_numpy())  # noqa: B023, E731
+                h, plus, minus = solve_asymmetric(pair("lambda"), pair("kappa"), pair("epsilon"), q_max=q_max, boundary=boundary, **options)
+                yield pd.DataFrame({"symbol": np.repeat(pdf["symbol"].to_numpy(), len(q)), "q": np.tile(q, len(pdf)), "h": h.ravel(), "delta_plus": plus.ravel(), "delta_minus": minus.ravel(), "method": "asymmetric"})
 
-    return needed.select("symbol", "kappa_p", "kappa_m", "lambda_p", "lambda_m", "epsilon_p", "epsilon_m").groupBy("symbol").applyInPandas(one, SURFACE)
+    return filled.mapInPandas(run, SURFACE)
 
 
 def surface(params: DataFrame, horizon: float = 30.0, steps: int = 200, q_min: int = -3, q_max: int = 3, alpha: float = 0.0, phi: float = 0.0, floor: float = 1e-16) -> DataFrame:

@@ -31,8 +31,9 @@ def impacts(trades: DataFrame, quotes: DataFrame, pre_us: int = WINDOW_US, post_
 
 def within_sigma(df: DataFrame, sigmas: float = 3.0) -> DataFrame:
     """Impacts nearer to the mean than ``sigmas`` population deviations; all of them where the deviation is 0."""
-    stats = df.groupBy(*KEY).agg(F.avg("impact").alias("m"), F.stddev_pop("impact").alias("s"))
-    return df.join(stats, KEY).where((F.col("s") == 0) | (F.abs(F.col("impact") - F.col("m")) < sigmas * F.col("s"))).drop("m", "s")
+    side = Window.partitionBy(*KEY)  # the partitioning that the ranks below need too
+    stats = df.withColumns({"m": F.avg("impact").over(side), "s": F.stddev_pop("impact").over(side)})
+    return stats.where((F.col("s") == 0) | (F.abs(F.col("impact") - F.col("m")) < sigmas * F.col("s"))).drop("m", "s")
 
 
 def estimates(df: DataFrame, trim: float = 0.1) -> DataFrame:
@@ -43,10 +44,11 @@ def estimates(df: DataFrame, trim: float = 0.1) -> DataFrame:
     inner = (F.col("n") <= 2) | ((F.col("rank") > F.floor(trim * F.col("n"))) & (F.col("rank") <= F.floor((1 - trim) * F.col("n"))))
     ranked = kept.withColumn("n", n).withColumn("rank", rank)
     agg = ranked.groupBy(*KEY).agg(F.avg(F.when(inner, F.col("impact"))).alias("epsilon"), F.avg("impact").alias("mean"), F.median("impact").alias("median"), F.stddev_pop("impact").alias("std"), F.count("*").alias("n"))
-    sides = df.select("symbol").distinct().withColumn("side", F.explode(F.array(F.lit("buy"), F.lit("sell"))))
-    out = sides.join(agg, KEY, "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    return out.select(*KEY, zero("epsilon"), zero("mean"), zero("median"), zero("std"), F.coalesce("n", F.lit(0)).alias("n"))
+    # Two entries a symbol at most.
+    sides = agg.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("side", F.struct("epsilon", "mean", "median", "std", "n").alias("e")))).alias("found"))
+    each = sides.withColumn("side", F.explode(F.array(F.lit("buy"), F.lit("sell")))).withColumn("e", F.col("found")[F.col("side")])
+    zero = lambda c: F.coalesce(F.col(f"e.{c}"), F.lit(0.0)).alias(c)
+    return each.select(*KEY, zero("epsilon"), zero("mean"), zero("median"), zero("std"), F.coalesce("e.n", F.lit(0)).alias("n"))
 
 
 def two_sided(est: DataFrame) -> DataFrame:
