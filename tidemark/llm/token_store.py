@@ -23,6 +23,7 @@ table gives an empty store.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,7 @@ END_ID = 2
 MAGIC = b"S8B1"
 CHUNK_IDS = 262_144
 CACHE_WORDS = 400_000
+_BREAK = b"\xff\xff\xff\xff"
 
 #: Ids and bits per id of a word, by selector.  Fixed values of Simple-8b.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -129,26 +132,86 @@ def decode(payload: bytes) -> np.ndarray:
 
 
 class WordEncoder:
-    """Encodes texts word by word: this tokenizer's pre-tokens never cross white space, so each distinct word is
-    encoded once and kept, in a cache of bounded size, as the bytes of its ids."""
+    """Encodes texts word by word: this tokenizer's pre-tokens never cross white space, so the bytes of a word's ids
+    can be kept.  Most words are new only as a whole, so the pre-tokens of a new word of plain Latin characters are
+    kept too, and only new pre-tokens reach the library's merges, many at once, past its normaliser and splitter.
+    Words with any other character take the library's whole path.  Both caches are of bounded size: when one is full
+    it stays as it is, with the frequent words that came first."""
+
+    #: Graphic characters below U+0250 but U+0130, which alone lower-cases to two: normal form C leaves them alone.
+    _plain = regex.compile(r"[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+").fullmatch
+    _all_plain = regex.compile(r"[\n!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+").fullmatch
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def ids(self, text: bytes | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = (text or b"").split()
-        new = set(words).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known, new = {}, set(words)
-            ordered = list(new)
-            for w, e in zip(ordered, self.tokenizer.encode_batch_fast([w.decode() for w in ordered], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        self.whole = Tokenizer.from_file(path)
+        spec = json.loads(self.whole.to_str())
+        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self._pieces = regex.compile(rf"(?:{split})|\n").findall
+        self.merges = Tokenizer(self.whole.model)
+        self.merges.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+        for token, i in self.whole.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith(suffix)
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"\n": _BREAK}
+        if self.whole.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of 16 bits at most are expected")
+
+    def _merge(self, parts: list[str], into: dict[str, bytes]) -> None:
+        for at in range(0, len(parts), 5_000):
+            some = parts[at : at + 5_000]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            raw, start = ids.tobytes(), 0
+            for part, end in zip(some, cuts.tolist(), strict=True):
+                into[part] = raw[start:end]
+                start = end
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words: all plain ones are split, looked up and cut apart again as one text."""
+        text = b"\n".join(words).decode()
+        plain, odd = words, []
+        if not self._all_plain(text) or "<|" in text:
+            plain = []
+            for w in words:
+                s = w.decode()
+                (plain if self._plain(s) and "<|" not in s else odd).append(w)
+            text = b"\n".join(plain).decode()
+        pieces = self._pieces(text.lower())
+        parts = self.parts
+        new = set(pieces).difference(parts)
+        if len(parts) + len(new) <= CACHE_WORDS:
+            self._merge(list(new), parts)
+            raw = b"".join(map(parts.__getitem__, pieces))
+        else:
+            merged: dict[str, bytes] = {}
+            self._merge(list(new), merged)
+            raw = b"".join([merged[p] if p in merged else parts[p] for p in pieces])
+        # Ids are below 2 ** 16, so a break, all ones, lies across no two of them.
+        out = dict(zip(plain, raw.split(_BREAK), strict=True)) if plain else {}
+        for w in odd:
+            out[w] = np.array(self.whole.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+    def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        for at in range(0, len(texts), 64):
+            split = [(t or b"").split() for t in texts[at : at + 64]]
+            known = self.known
+            new = set().union(*split).difference(known)
+            found = self._encode(list(new)) if new else {}
+            if len(known) + len(found) <= CACHE_WORDS:
+                known.update(found)
+                for words in split:
+                    yield b"".join(map(known.__getitem__, words))
+            else:
+                for words in split:
+                    yield b"".join([known[w] if w in known else found[w] for w in words])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -161,11 +224,11 @@ def _tokenise(path: str, bounds: list[int], end_id: int):
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         cuts = np.array(bounds, np.int64)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             shard = np.searchsorted(cuts, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
             coded, held, first = [], 0, 0
-            for i, t in enumerate(texts):
-                coded.append(encoder.ids(t.as_py()) + end)
+            for i, t in enumerate(encoder.ids(texts)):
+                coded.append(t + end)
                 held += len(coded[-1])
                 if held > 16_000_000 or i + 1 == len(ids):
                     yield pa.RecordBatch.from_arrays([pa.array(shard[first : i + 1], pa.int32()), ids[first : i + 1], pa.array(coded, pa.binary())], ["shard", "doc_id", "ids"])
