@@ -52,11 +52,7 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 def _selectors(ids: np.ndarray) -> np.ndarray:
     """For every place of the (padded) ids the selector of a word that starts there."""
     n = len(ids)
-    need = np.zeros(n, np.uint8)  # bits of each id
-    rest = ids.copy()
-    while rest.any():
-        need += rest != 0
-        rest >>= 1
+    need = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)  # bits of each id (above 2 ** 53 perhaps one more)
     best = np.full(n, 15, np.uint8)
     # The largest need in the k ids from each place on, for growing k: from windows of powers of two.
     levels = [need]
@@ -71,7 +67,7 @@ def _selectors(ids: np.ndarray) -> np.ndarray:
         if k - (1 << p):
             shift = k - (1 << p)
             np.maximum(w[:-shift], levels[p][shift:], out=w[: n - shift])
-        best[w <= BITS[s]] = s
+        np.copyto(best, np.uint8(s), where=w <= BITS[s])
     return best
 
 
@@ -98,13 +94,14 @@ def encode(ids: np.ndarray) -> bytes:
     place = np.concatenate([p for _, p in starts])
     order = np.lexsort((place, block))
     block, place = block[order], place[order]
-    chosen = sel[block, place]
+    packed, at = wide.ravel(), block * wide.shape[1] + place
+    chosen = sel.ravel()[at]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen):
         if BITS[s]:
             k = np.flatnonzero(chosen == s)
             for j in range(int(COUNTS[s])):
-                words[k] |= wide[block[k], place[k] + j] << np.uint64(j * int(BITS[s]))
+                words[k] |= packed[at[k] + j] << np.uint64(j * int(BITS[s]))
     offsets = np.searchsorted(block, np.arange(n_blocks + 1)).astype("<u4")
     return MAGIC + struct.pack("<QI", n, n_blocks) + offsets.tobytes() + words.astype("<u8").tobytes()
 
@@ -126,8 +123,9 @@ def decode(payload: bytes) -> np.ndarray:
         bits = int(BITS[s])
         if bits:
             k = np.flatnonzero(sel == s)
+            some, to = words[k], block[k] * out.shape[1] + place[k]
             for j in range(int(COUNTS[s])):
-                out[block[k], place[k] + j] = (words[k] >> np.uint64(j * bits)) & np.uint64((1 << bits) - 1)
+                out.ravel()[to + j] = (some >> np.uint64(j * bits)) & np.uint64((1 << bits) - 1)
     return out[:, :BLOCK].ravel()[:n]
 
 
