@@ -32,35 +32,32 @@ _LETTERS = regex.compile(r"\p{L}+")
 
 
 class SuffixAutomaton:
-    """All substrings of a text; transitions of all states in one dictionary, keyed by state and character."""
+    """All substrings of a text; each state has a dictionary from character to state."""
 
     def __init__(self, text: str) -> None:
-        step: dict[tuple[int, str], int] = {}
-        link, length, own = [-1], [0], [""]  # own: characters a state has transitions for
+        step: list[dict[str, int]] = [{}]
+        link, length = [-1], [0]
         last = 0
         for ch in text:
-            cur = len(length)
+            cur = len(step)
+            step.append({})
             length.append(length[last] + 1)
             link.append(0)
-            own.append("")
             p = last
-            while p >= 0 and (p, ch) not in step:
-                step[p, ch] = cur
-                own[p] += ch
+            while p >= 0 and ch not in step[p]:
+                step[p][ch] = cur
                 p = link[p]
             if p >= 0:
-                q = step[p, ch]
+                q = step[p][ch]
                 if length[p] + 1 == length[q]:
                     link[cur] = q
                 else:
-                    twin = len(length)
+                    twin = len(step)
+                    step.append(step[q].copy())
                     length.append(length[p] + 1)
                     link.append(link[q])
-                    own.append(own[q])
-                    for c in own[q]:
-                        step[twin, c] = step[q, c]
-                    while p >= 0 and step.get((p, ch)) == q:
-                        step[p, ch] = twin
+                    while p >= 0 and step[p].get(ch) == q:
+                        step[p][ch] = twin
                         p = link[p]
                     link[q] = link[cur] = twin
             last = cur
@@ -68,16 +65,19 @@ class SuffixAutomaton:
 
     def phrases(self, text: str) -> int:
         """Greedy longest matches that cover the text; an unknown character is a phrase of its own."""
-        step, n, i, count = self.step, len(text), 0, 0
-        while i < n:
-            state, count = step.get((0, text[i])), count + 1
-            i += 1
-            while state is not None and i < n:
-                state = step.get((state, text[i]))
-                if state is None:
-                    break
-                i += 1
-        return count
+        step, count = self.step, 0
+        start = at = step[0]
+        for ch in text:
+            to = at.get(ch)
+            if to is None:  # a phrase ends before this character, unless none was begun
+                count += at is not start
+                to = start.get(ch)
+                if to is None:
+                    count += 1
+                    at = start
+                    continue
+            at = step[to]
+        return count + (at is not start)
 
 
 def runs(text: str) -> list[str]:
