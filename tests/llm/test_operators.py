@@ -162,6 +162,31 @@ def test_scoring_learns(spark):
     assert len(held) and held.score.sum() > held.base_score.sum()
 
 
+def test_scoring_sees_other_words(spark):
+    """Word order changes a score, and counts are of occurrences, not of types."""
+    phrase = " ".join(f"{a} follows {b}" for a, b in zip("red green blue black".split(), "one two three four".split(), strict=True))
+    turned = " ".join(reversed(phrase.split()))
+    df = [(i, phrase) for i in range(200)] + [(200 + i, turned) for i in range(60) if scoring.held_out(200 + i)]
+    held = scoring.score(spark.createDataFrame(df, "doc_id long, text string")).where("held_out").toPandas()
+    right, wrong = held[held.doc_id < 200], held[held.doc_id >= 200]
+    assert len(right) and len(wrong) and right.base_score.mean() == pytest.approx(wrong.base_score.mean())
+    assert right.score.mean() > wrong.score.mean() + 5
+    often = [(i, "aab") for i in range(100)] + [(100 + i, f"a{c}x") for i, c in enumerate("cdefgh")]
+    got = scoring.score(spark.createDataFrame([*often, (1000, "aab"), (1001, "acx")], "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert got.score[1000] > got.score[1001] + 0.5
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """A text's pieces add up to the text: contexts reach back over the cut."""
+    model = scoring.Model([]).open()
+    for k, table in enumerate(model.tables):
+        table[:] = np.arange(table.size).reshape(table.shape) % (37 + k)
+    texts = [b"some words of a text " * 9, b"some words", b""]
+    whole = model.log10(texts)
+    monkeypatch.setattr(scoring, "PIECE", 50)
+    assert model.log10(texts) == pytest.approx(whole)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 8192), max_size=120))
 def test_best_fit(sizes):
