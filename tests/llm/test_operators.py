@@ -176,6 +176,14 @@ def test_scoring_sees_other_words(spark):
     assert got.score[1000] > got.score[1001] + 0.5
 
 
+def test_contexts_reach_six_bytes_and_the_word():
+    """Predictors whose context is the same in two texts: a difference six bytes back shows, and the word so far alone is one."""
+    same = lambda a, b: [int((scoring.Flat([a]).contexts[p][scoring.Flat([a]).edge[-1]] == scoring.Flat([b]).contexts[p][scoring.Flat([b]).edge[-1]]).sum()) for p in range(len(scoring.TABLE_BITS))]
+    assert same(b"xabcde", b"yabcde") == [1, 1, 1, 1, 1, 0, 0, 0]
+    assert same(b"one longish", b"two longish") == [1, 1, 1, 1, 1, 1, 1, 0]
+    assert same(b"a longish", b"a tongish") == [1, 1, 1, 1, 1, 1, 0, 0]
+
+
 def test_long_texts_in_pieces(monkeypatch):
     """A text's pieces add up to the text: contexts reach back over the cut."""
     model = scoring.Model([]).open()
