@@ -184,6 +184,27 @@ def test_contexts_reach_six_bytes_and_the_word():
     assert same(b"a longish", b"a tongish") == [1, 1, 1, 1, 1, 1, 0, 0]
 
 
+def test_learning_takes_all_training_texts(spark, monkeypatch):
+    """Every byte trains weights and map, long texts too; what tasks learn apart adds up; tables grow."""
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.integers(97, 101, 30_000, np.uint8)), b"", *[b"some words %d" % i for i in range(200)]]
+    monkeypatch.setattr(scoring, "MIN_STEPS", 1)
+    seen = []
+    for cut in (1, 3):
+        tasks = []
+        for k in range(cut):
+            model = scoring.Model([])
+            model.fit(texts[k::cut])
+            tasks.append(model.learned())
+        whole = scoring.Model([])
+        whole.merge(iter(tasks))
+        assert np.isfinite(whole.weights).all() and ((whole.map > 0) & (whole.map < 1)).all()
+        seen.append(sum(np.frombuffer(t[2]).sum() for t in tasks))
+    assert seen == [8 * sum(len(t) + 1 for t in texts)] * 2  # all bits of the texts and their ends
+    assert scoring.table_sizes(1000) == scoring.TABLE_BITS
+    assert scoring.table_sizes(3 << 20) == tuple(b + 2 for b in scoring.TABLE_BITS)
+
+
 def test_long_texts_in_pieces(monkeypatch):
     """A text's pieces add up to the text: contexts reach back over the cut."""
     model = scoring.Model([]).open()
