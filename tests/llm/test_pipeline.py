@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from tidemark.llm.packing import LENGTHS
@@ -44,6 +45,32 @@ def test_stages(spark, docs, tmp_path):
     assert pieces.length.sum() == total and set(pieces.capacity) <= set(LENGTHS)
 
 
+def test_near_dedup_reaches_the_threshold(spark):
+    """Copies with words changed go at a five-word Jaccard of 0.8 or more, against brute force; others stay."""
+    rng = np.random.default_rng(5)
+    word = [f"w{k}" for k in range(5000)]
+    texts = []
+    for _ in range(40):
+        base = rng.choice(word, 200).tolist()
+        texts.append(base)
+        for changes in (2, 3, 4, 6):
+            copy = list(base)
+            for at in rng.choice(200, changes, replace=False):
+                copy[at] = "other"
+            texts.append(copy)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i for i in range(len(texts)) if find(i) == i}
+    kept = corpus_pipeline.near_dedup(spark, make(spark, [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)]), "")
+    assert 40 < len(want) < len(texts) and {r["doc_id"] for r in kept.collect()} == want
+
+
 def test_empty(spark):
     now = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
