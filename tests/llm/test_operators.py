@@ -362,6 +362,17 @@ def test_sharding(spark, docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_sharding_keeps_links_together(spark):
+    """A group of a third lies in as few shards as hold it, and pairs in one."""
+    data = [(i, "hot") for i in range(2000)] + [(2000 + i, f"pair {i // 2}") for i in range(1200)] + [(3200 + i, f"one {i}") for i in range(2800)]
+    got = sharding.shard(spark.createDataFrame(data, "doc_id long, text string"), shards=20).toPandas()
+    assert set(got.groupby("shard").size()) == {300}
+    hot = got[got.doc_id < 2000].groupby("shard").size().sort_values()
+    assert hot[-7:].sum() >= 0.97 * 2000  # 300 a shard: seven hold it
+    pairs = got[(got.doc_id >= 2000) & (got.doc_id < 3200)]
+    assert (pairs.groupby("text_crc32").shard.nunique() > 1).mean() < 0.01
+
+
 def slow_measures(text):
     t = text or ""
     w = words(t)

@@ -4,7 +4,10 @@ Documents that share a link (equal text, in the query) are neighbours.  Every do
 In each round a link's leading shard, among those with room, draws the link's documents there; a shard admits so many
 as its quota of linked documents leaves, by a repeatable draw.  A link has one row for each shard that it touches and
 documents meet their link's row by (link, shard), so no pairs of neighbours are made and the documents of a large
-group spread over the shards' rows.  A group above a shard's quota fills one shard after another.
+group spread over the shards' rows.  Rounds go on until nothing moves or agreement has stopped to rise.
+
+A group above a shard's quota first claims as many shards as hold it, those with most of its documents among the free
+ones, and its documents are dealt evenly to them.  All other documents start in the shards that are left.
 
 Then the counts are made exact: the rows of a shard are numbered, linked ones first and links together, and those
 numbered beyond the shard's quota, unlinked ones wherever there are enough, fill the shards that lack rows.  Numbering
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import materialize, unit
 
 SHARDS = 40
-ROUNDS = 4
+#: Rounds without more agreement before propagation stops.
+PATIENCE = 3
 BUCKET_ROWS = 20_000
 
 
@@ -36,26 +40,61 @@ def _by_shard(values: dict[int, int | float], shard: Column, default) -> Column:
     return F.element_at(F.array(*[F.lit(values.get(k, default)) for k in range(n)]), shard + 1)
 
 
-def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def _claims(placed: DataFrame, quota: int, shards: int) -> tuple[dict[int, list[int]], list[int]]:
+    """Shards of each link above a quota, largest link first, and the shards that none has claimed."""
+    large = placed.groupBy("link").agg(F.count("*").alias("n")).where(F.col("n") > max(1, quota))
+    cells = placed.groupBy("link", "shard").agg(F.count("*").alias("c")).join(large, "link").collect()  # shards times as many at most
+    size = {r["link"]: r["n"] for r in cells}
+    held = {(r["link"], r["shard"]): r["c"] for r in cells}
+    claims, free = {}, list(range(shards))
+    for link in sorted(size, key=lambda x: (-size[x], x)):
+        need = -(-size[link] // max(1, quota))
+        mine = sorted(free, key=lambda s: (-held.get((link, s), 0), s))[:need]
+        if len(mine) < need:
+            continue
+        claims[link] = mine
+        free = [s for s in free if s not in mine]
+    return claims, free
+
+
+def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """node, shard: ``nodes`` (node) moved towards their neighbours; ``links`` (node, link) may have many rows a node."""
     total = nodes.count()
     quota = total // shards
     # A link of one document draws nothing.
     shared = links.groupBy("link").count().where("count > 1").select("link")
     tied = materialize(links.join(shared, "link").select("node", "link"), "shard-links")
-    state = materialize(nodes.select("node", F.pmod(F.xxhash64("node", F.lit("start")), F.lit(shards)).cast("int").alias("shard")), "shard-state")
-    for k in range(rounds):
+    start = F.pmod(F.xxhash64("node", F.lit("start")), F.lit(shards)).cast("int")
+    state = nodes.select("node", start.alias("shard"))
+    claims, free = _claims(tied.withColumn("shard", start), quota, shards)
+    if claims:
+        left = F.array(*[F.lit(s) for s in free or range(shards)])
+        state = nodes.select("node", F.element_at(left, F.pmod(F.xxhash64("node", F.lit("start")), F.size(left)).cast("int") + 1).alias("shard"))
+        named = [f"({link}L, array({', '.join(map(str, mine))}))" for link, mine in claims.items()]
+        given = nodes.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(named)} AS t(link, given)")  # not more rows than shards, about
+        mine = tied.join(F.broadcast(given), "link").groupBy("node").agg(F.min_by("given", "link").alias("given"))
+        mine = mine.select("node", F.element_at("given", F.pmod(F.xxhash64("node", F.lit("deal")), F.size("given")).cast("int") + 1).alias("own"))
+        state = state.join(mine, "node", "left").select("node", F.coalesce("own", "shard").alias("shard"))
+        dealt = tied.where(F.col("link").isin(list(claims))).select("node").distinct()
+    state = materialize(state, "shard-state")
+    k, best, since = -1, -1, 0
+    while rounds is None or k + 1 < rounds:
+        k += 1
         placed = tied.join(state, "node")
         linked = placed.select("node", "shard").distinct().groupBy("shard").count().collect()  # a row a shard
         held = {r["shard"]: r["count"] for r in linked}
         room = {s: max(0, quota - held.get(s, 0)) for s in range(shards)}
         cells = materialize(placed.groupBy("link", "shard").agg(F.count("*").alias("c")), "shard-cells")
+        agreed = cells.agg(F.coalesce(F.sum(F.col("c").cast("decimal(38,0)") * F.col("c")), F.lit(0))).first()[0]
+        best, since = (agreed, 0) if agreed > best else (best, since + 1)
+        if since >= PATIENCE:
+            break
         open_ = cells.where((_by_shard(room, F.col("shard"), 0) > 0))
         lead = open_.groupBy("link").agg(F.max(F.struct("c", F.xxhash64("link", "shard"), "shard")).alias("top")).select("link", F.col("top.shard").alias("to"), F.col("top.c").alias("top_c"))
         wish = cells.join(lead, "link").where("to <> shard").withColumn("gain", F.col("top_c") - F.col("c") + 1)
         votes = placed.join(wish.select("link", "shard", "to", "gain"), ["link", "shard"])
         moves = votes.groupBy("node").agg(F.max_by("to", F.struct("gain", "to")).alias("to"), F.max_by("link", F.struct("gain", "to")).alias("link"), F.max("gain").alias("gain")).where("gain > 0")
-        moves = materialize(moves, "shard-moves")
+        moves = materialize(moves.join(dealt, "node", "left_anti") if claims else moves, "shard-moves")
         demand = {r["to"]: r["count"] for r in moves.groupBy("to").count().collect()}  # a row a shard
         if not demand:
             break
@@ -100,7 +139,7 @@ def exact_slots(state: DataFrame, shards: int, bucket_rows: int = BUCKET_ROWS) -
     return numbered.select("node", new_shard.cast("int").alias("shard"), new_slot.cast("long").alias("slot"))
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int = ROUNDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, rounds: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     text = F.coalesce(docs[text_col], F.lit(""))
     picked = docs.select(
