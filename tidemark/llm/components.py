@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,4 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(new) == mark or not new[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = tuple(new)
-        edges = materialize(_star(materialize(_star(edges, True), "edges"), False), "edges")
+        old, large = edges, materialize(_star(edges, True), "edges")
+        edges = materialize(_star(large, False), "edges")
+        discard(old, large)

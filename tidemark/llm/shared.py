@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +20,22 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
+_collecting: ContextVar[tuple[list[str], ...]] = ContextVar("collecting", default=())
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session whose master is this very process has a folder of its own; any other raises,
+    because its executors wouldn't see the driver's files.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
-        if app not in _own_dirs:  # a local session, as in tests
+        if app not in _own_dirs:
             _own_dirs[app] = tempfile.mkdtemp(prefix="tidemark-")
             atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
         base = _own_dirs[app]
@@ -30,7 +43,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _collecting.get():
+        made.append(path)
+    return path
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The work paths that this thread makes inside the block, for ``remove`` once what was read from them is written."""
+    made: list[str] = []
+    token = _collecting.set((*_collecting.get(), made))
+    try:
+        yield made
+    finally:
+        _collecting.reset(token)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -39,7 +72,15 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     path = work_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    _paths[read] = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned and that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, [_paths.pop(df)])
 
 
 def trimmed(text: Column) -> Column:
