@@ -15,7 +15,8 @@ and repeatable from the document's values, up to the words that the target leave
 of all rows needs no sort of its rows.  The cut is off the target by half a document at most.
 
 Results: a null text has size 0.  Rows alike in doc_id, source and size share one decision.  Size-0 rows take
-0 words.  An empty table gives an empty result.  Only the named columns are read; others can't clash.
+0 words.  An empty table gives an empty result.  Very long texts are rows like others.  Other columns, whatever their
+names, travel inside one struct.  The sources are one row each and must fit one task, as a million do.
 """
 
 from __future__ import annotations
@@ -99,7 +100,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: every row as often as it is taken, all columns unchanged.  A row of no words stays once."""
     chosen = decide(docs, id_col, text_col, source_col, **options)
-    chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias("_c")).where("_c > 0")
-    sized = docs.withColumn("_size", F.size(words(docs[text_col])).cast("long"))
-    joined = sized.join(chosen, sized[id_col].eqNullSafe(F.col("_d")) & sized[source_col].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_copy")).drop("_copy")
+    chosen = chosen.select(*[F.col(c).alias(f"c_{c}") for c in ("doc_id", "source", "size")], F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias("times")).where("times > 0")
+    whole = F.struct(*[docs[c] for c in docs.columns])  # so that no column can clash
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), F.size(words(docs[text_col])).cast("long").alias("size"), whole.alias("row"))
+    same = [rows[c].eqNullSafe(chosen[f"c_{c}"]) for c in ("doc_id", "source", "size")]
+    return rows.join(chosen, same).select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
