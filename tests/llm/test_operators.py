@@ -318,7 +318,7 @@ def test_simhash(docs, none):
 
 
 def test_links_are_complete(spark):
-    """Dense clusters with chunked lists, and both covers, against brute force."""
+    """Dense clusters with whole and chunked lists against brute force."""
     rng = np.random.default_rng(3)
     prints = [int(x) for x in rng.integers(0, 2**63, 40)]
     for k in range(300):
@@ -329,7 +329,7 @@ def test_links_are_complete(spark):
     prints = sorted(set(prints))
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
     want = reach(prints, prints)
-    for options in ({"list_rows": 8}, {"list_rows": 4096}, {"set_size": 4}):
+    for options in ({"list_rows": 8}, {"list_rows": 4096}):
         edges = simhash.links(df, **options)
         root = {r["node"] % (1 << 64): r["root"] for r in components(edges).collect()}
         mine = {}

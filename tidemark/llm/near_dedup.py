@@ -1,14 +1,27 @@
-"""Near-duplicates by MinHash bands with every link verified: Jaccard of five-word shingle sets of 0.8 or more.
-
-A text's set holds the hashes of its shingles, runs of five lower-cased words; a text of fewer words is one shingle.
-Texts of equal sets are one node.  A node has ``BANDS`` keys, each of ``ROWS`` least hashes; nodes of a common key are
-candidates, so a pair at Jaccard 0.8 is missed with probability (1 - 0.8^5)^20 = 0.0004, and one above more rarely.
-
-Candidates are verified by their whole sets, in two steps.  First each node meets the least and the greatest node of
-its keys; that joins most of a large group without its pairs.  Then nodes of a common key that are still in different
-components meet one another, so no candidate pair that could join two components is left out.  No list is capped.
-
-Results: null counts as the empty text; texts without words link with one another.
+"""Operator 6 at a Jaccard similarity: the byte-position index and its count filter over a longer, min-wise signature.
+
+Texts whose sets of five-word shingles are 0.8 alike differ in about ten bits of a 64-bit SimHash, give or take three
+(an angle of arccos(8/9)), and any ten bits can touch all eight bytes: no number of matching bytes is guaranteed, so no
+inverted index over them finds such pairs.  This mode therefore takes ``BYTES`` positional bytes, each a byte of the
+least of the shingles' hashes under its own permutation; a byte agrees with the probability of the sets' similarity.
+The search stays the operator's:
+
+1. *Index.*  Lists are kept for ``BYTES / LISTED`` disjoint sets of ``LISTED`` byte positions, 32 bits each, so a list
+   of texts that aren't alike holds a 2^32nd of all.  A pair at 0.8 meets in no list with probability
+   (1 - 0.8^4)^16 = 0.0002.
+2. *Count filter.*  A candidate pair's shared positional bytes are tallied; fewer than ``MATCHES`` drop it (a pair at
+   0.8 has fewer with probability 0.0001; one at 0.5 has as many with 0.09).
+3. *Verification* by the whole shingle sets.
+
+Candidates don't grow with the square of a group.  Each node first meets two nodes of each of its lists, picked by a
+hash; that joins most of a large group.  What isn't in its list's largest component after ``ROUNDS`` such rounds then
+meets every member of the list that is still in another component, in blocks of a salted join, so no candidate pair
+that could join two components is left out.  No list is capped.  Texts of equal shingle sets are one node.
+
+Results: null counts as the empty text; a text of fewer than five words is one shingle, and texts without words link
+with one another.  Rows alike in id and text, ties and empty tables need no care of the caller's; only the id and the
+text column are read here, and ``near_deduplicated`` passes all others on, whatever their names.  A text of any length
+is read whole; its set, eight bytes a shingle, must fit a task.
 """
 
 from __future__ import annotations
@@ -27,21 +40,24 @@ from tidemark.llm.shared import materialize
 
 SHINGLE = 5
 SIMILAR = 0.8
-BANDS, ROWS = 20, 5
+BYTES, LISTED = 64, 4
+MATCHES = 38
+ROUNDS = 2
+BLOCK_ROWS = 4096
 SEED = 42
 
 _random = np.random.default_rng(SEED)
-_TIMES = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_TIMES = _random.integers(0, 1 << 63, BYTES, np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _random.integers(0, 1 << 63, BYTES, np.uint64)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
     """Hashes of the distinct shingles, ascending."""
     words = (text or b"").lower().split()
     n = len(words)
-    if n <= SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
     joined = b" ".join(words)
+    if n <= SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     total = n - SHINGLE + 1
@@ -49,24 +65,34 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(SEED)), np.uint64, total))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def signature(hashes: np.ndarray) -> bytes:
+    """A byte for each position: the last of the least hash, scrambled, under the position's permutation."""
+    least = np.full(BYTES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 2048):
         least = np.minimum(least, ((hashes[None, at : at + 2048] ^ _FLIP[:, None]) * _TIMES[:, None]).min(axis=1))
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+    mixed = (least ^ (least >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def list_keys(sig: bytes) -> list[int]:
+    """The lists of a signature: the number of the set of positions above its bytes."""
+    return [(k << 32) + int(v) for k, v in enumerate(np.frombuffer(sig, "<u4"))]
 
 
 def _node(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t.as_py()) for t in batch.column(1).cast(pa.binary())]
-        keys = pa.array([bands(h).tolist() for h in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(h) for h in sets], pa.int64()), keys], ["doc_id", "node", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(h) for h in sets], pa.int64()), pa.array([signature(h) for h in sets], pa.binary())], ["doc_id", "node", "sig"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [list_keys(s) for s in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,6 +102,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "hashes"]).filter(own)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with ``MATCHES`` shared positional bytes or more."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BYTES) for c in (2, 3))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= MATCHES))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
@@ -90,36 +123,49 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, component_id (the least doc_id of its component) of every row."""
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    keyed = materialize(picked.mapInArrow(_keys, f"doc_id {kind}, node long, keys array<long>"), "near-keys")
-    nodes = keyed.groupBy("node").agg(F.first("keys").alias("keys"))
-    posts = nodes.select("node", F.explode("keys").alias("key"))
-    ends = posts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    posts = materialize(posts.join(ends, "key"), "near-posts")  # keys of one node are gone
-
-    # One text of each candidate node, for its set.
-    rows = keyed.join(posts.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    signed = materialize(picked.mapInArrow(_signed, f"doc_id {kind}, node long, sig binary"), "near-signatures")
+    nodes = materialize(signed.groupBy("node").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "near-nodes")
+    lists = nodes.select("node", "sig").mapInArrow(_listed, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    shared = lists.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    lists = materialize(lists.join(shared, "key"), "near-lists")  # lists of one node are gone
+
+    # One text of each listed node, for its set.
+    rows = lists.select("node").distinct().join(nodes, "node").select("node", "sig", "doc_id")
     found = picked.join(rows, picked["doc_id"].eqNullSafe(rows["doc_id"])).select("node", "text")
     sets = materialize(found.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]), "near-sets")
+    sigs = nodes.select("node", "sig")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
-
-    pairs = posts.select(F.explode(F.array(F.struct("node", F.col("low").alias("end")), F.struct("node", F.col("high").alias("end")))).alias("p")).select(F.least("p.node", "p.end").alias("a"), F.greatest("p.node", "p.end").alias("b"))
-    first = materialize(verify(materialize(pairs.where("a <> b").distinct(), "near-pairs")), "near-links")
-    roots = components(first)
-    placed = posts.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    placed = materialize(placed.join(mixed, "key"), "near-placed")
-    other = placed.toDF("key", "node2", "root2")
-    rest = placed.join(other, "key").where("root <> root2 AND node < node2").select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    second = verify(materialize(rest, "near-rest"))
-    roots = components(first.union(second))
-    named = keyed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        counted = pairs.join(sigs.toDF("a", "x"), "a").join(sigs.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_counted, "a long, b long")
+        counted = materialize(counted, "near-counted")
+        return counted.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+
+    links, placed = None, lists.withColumn("root", F.col("node"))
+    for k in range(rounds):
+        spun = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "root")
+        ends = placed.groupBy("key").agg(F.min(spun).alias("low"), F.max(spun).alias("high"))
+        met = placed.join(ends, "key").select("node", "root", F.explode(F.array("low", "high")).alias("end")).where("root <> end.root")
+        new = materialize(verify(met.select(F.col("node").alias("a"), F.col("end.node").alias("b"))), "near-links")
+        links = new if links is None else links.union(new)
+        roots = components(links)
+        now = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+        placed = materialize(now.join(mixed, "key"), "near-placed")
+    cells = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    tops = cells.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("n"))
+    tops = tops.select("key", F.col("top.root").alias("main"), F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    among = placed.join(tops, "key")
+    # Of two components in a list one at least isn't the largest: its nodes meet the list's others, block by block.
+    minor = among.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("a"), F.col("root").alias("ra"))
+    other = among.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("b"), F.col("root").alias("rb"))
+    rest = materialize(minor.join(other, ["key", "block"]).where("ra <> rb").select("a", "b").distinct(), "near-rest")
+    roots = components(links.union(materialize(verify(rest), "near-links")))
+    named = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "near-roots")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root").select("doc_id", "component_id")
@@ -130,5 +176,6 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Rows of the staying doc_id all stay, and so do rows without a doc_id, which can't be told apart.
     """
-    gone = near_groups(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = near_groups(docs, id_col, text_col).where("doc_id <> component_id").select("doc_id").distinct()
+    rows = docs.select(docs[id_col].alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.join(gone, rows["id"] == gone["doc_id"], "left_anti").select("row.*")

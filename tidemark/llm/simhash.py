@@ -2,10 +2,9 @@
 
 A fingerprint's eight bytes are its positional terms.  Fingerprints that differ in four bits or fewer share at least
 four of the eight, so a pair must reach four matches before it is verified.  A list for a single positional byte would
-hold one 256th of all fingerprints; the index therefore lists *sets* of positions, chosen so that every four positions
-contain one of the sets: with three bytes a set, 20 sets do, the least possible (a Turan system).  Any pair with four
-matches meets in a list of 24 bits, no list is capped, and nothing is lost.  Above ``WIDE_ABOVE`` distinct
-fingerprints all 70 sets of four positions are used, equally exact with lists of 32 bits.
+hold one 256th of all fingerprints and its pairs grow with the square of the input; the index therefore lists the 70
+*sets* of four positions, 32 bits each.  Any pair with four matches meets in a list, no list is capped, nothing is
+lost, and lists stay short up to billions of fingerprints: the index is the same at every size.
 
 The members of a list are compared in blocks: matches are tallied by the zero bytes of the exclusive or, pairs with
 fewer than four are dropped, the rest verified by their differing bits.  A list leaves only a spanning forest of its
@@ -13,8 +12,13 @@ links, never all pairs.  Lists above ``LIST_ROWS`` are cut into chunks and each
 so every pair is still compared and no task holds more than two chunks.  Links run between distinct fingerprints;
 documents join their fingerprint's component at the end.
 
+A stage that asks for a similarity of word sets instead of bits takes ``near_deduplicated``, whose signature is longer
+(see ``near_dedup``).
+
 Results: null counts as the empty text; texts without words have fingerprint 0 and link like any other.  Component ids
-are the smallest doc_id (nulls are passed over).  Only the id and text column are read.
+are the smallest doc_id (nulls are passed over).  Repeated rows have a row each; equal texts have one fingerprint, so
+ties need no rule.  An empty table gives an empty result.  Only the id and text column are read, so others can't
+clash.  Very long texts are read whole, their bits tallied some thousand shingles at a time.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
+from tidemark.llm.near_dedup import near_deduplicated
 from tidemark.llm.shared import materialize, partitions_of
 
 SHINGLE = 4
@@ -36,7 +41,8 @@ SEED = 42
 MAX_BITS = 4
 MATCHES = 8 - MAX_BITS
 LIST_ROWS = 4096
-WIDE_ABOVE = 20_000_000
+#: Every four of the eight byte positions.
+SETS = list(combinations(range(8), MATCHES))
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
@@ -67,20 +73,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64), pa.int64())], ["doc_id", "fp"])
 
 
-def cover(size: int) -> list[tuple[int, ...]]:
-    """Sets of ``size`` byte positions such that any four positions contain one of them."""
-    if size == MATCHES:
-        return list(combinations(range(8), MATCHES))
-    # Three classes in a circle: three positions of one class, or two of one and one of the next.
-    of = [p % 3 for p in range(8)]
-    sets = []
-    for s in combinations(range(8), 3):
-        kinds = sorted(of[p] for p in s)
-        if len(set(kinds)) == 1 or len(set(kinds)) == 2 and {(0, 0, 1), (1, 1, 2), (0, 2, 2)} & {tuple(kinds)}:
-            sets.append(s)
-    return sets
-
-
 def _key(fp: Column, positions: tuple[int, ...]) -> Column:
     mask = sum(0xFF << (8 * p) for p in positions)
     return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
@@ -144,10 +136,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def links(prints: DataFrame, list_rows: int = LIST_ROWS, set_size: int | None = None) -> DataFrame:
+def links(prints: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     """a, b: links between distinct fingerprints ``prints`` (fp), enough to connect all that are connected."""
-    size = set_size or (3 if prints.count() <= WIDE_ABOVE else MATCHES)
-    terms = F.array(*[F.struct(F.lit(i).alias("s"), _key(F.col("fp"), p).alias("k")) for i, p in enumerate(cover(size))])
+    terms = F.array(*[F.struct(F.lit(i).alias("s"), _key(F.col("fp"), p).alias("k")) for i, p in enumerate(SETS)])
     postings = prints.select("fp", F.explode(terms).alias("e")).select("e.s", "e.k", "fp")
     counts = postings.groupBy("s", "k").agg(F.count("*").alias("n")).where("n > 1")
     posted = postings.join(counts, ["s", "k"])
@@ -165,11 +156,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(_fingerprints, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_rows: int = LIST_ROWS, set_size: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_rows: int = LIST_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
     prints = materialize(fingerprints(docs, id_col, text_col), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), list_rows, set_size))
+    roots = components(links(distinct.select("fp"), list_rows))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
@@ -177,12 +168,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", hexed, "component_id")
 
 
-def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns unchanged, of one document of each component: that of the smallest doc_id.
-
-    Rows of the staying doc_id all stay, and so do rows without a doc_id, which can't be told apart.
-    """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    gone = gone.withColumnRenamed("doc_id", "_gone")
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+__all__ = ["fingerprint", "fingerprints", "links", "near_deduplicated", "near_duplicates"]
