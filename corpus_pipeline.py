@@ -3,7 +3,7 @@
 1. ``language_id`` drops texts in which no language can be recognised (null texts and those without a letter).
 2. ``exact_dedup`` keeps one row of every group of equal texts, that of the smallest doc_id.
 3. ``near_dedup`` keeps one document of every group linked by five-word Jaccard of 0.8 or more, that of the smallest
-   doc_id.
+   doc_id: operator 6's byte-position index and count filter, with a signature long enough for that similarity.
 4. ``mixing`` repeats and drops rows so that sources come near their target weights.
 5. ``packing`` lays what is left into sequences of the permitted lengths, one row a piece.
 
@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.exact_dedup import deduplicated
 from tidemark.llm.language_id import recognised
 from tidemark.llm.mixing import mixed
-from tidemark.llm.near_dedup import near_deduplicated
 from tidemark.llm.packing import pack
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import collecting, materialize, remove
+from tidemark.llm.simhash import near_deduplicated
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with collecting() as made:
+            kept = stage(spark, docs, sf_dir)
+        docs = materialize(kept, f"pipeline-{name}")
+        remove(spark, made)  # the stage's own work tables
     return STAGES[-1][1](spark, docs, sf_dir)
