@@ -14,11 +14,13 @@ doc_ids, lengths and ``payload``, the packed ids:
 
 All integers are little-endian.  A block starts a new word, so blocks decode alone or all at once: the offsets give
 every word's block, the selectors every word's first place.  The selector of a word is the one that packs most ids;
-the last, one id in 60 bits, is the escape for ids that fit no other.  Zeros pad the last word of a block.
+the last, one id in 60 bits, is the escape for ids that fit no other.  Zeros pad the last word of a block.  Ids of
+2^60 and above have no word and raise.
 
-Results: null counts as the empty text, which has the end id alone.  Rows of equal doc_id follow each other by their
-ids; a null doc_id comes first.  Only the id and the text column are read, so other columns can't clash.  An empty
-table gives an empty store.
+Results: null counts as the empty text, which has the end id alone.  doc_id must be a whole number, which orders the
+store; other types raise.  Rows of equal doc_id (repeated rows too) follow each other by their ids; a null doc_id comes
+first.  Only the id and the text column are read, so other columns can't clash.  An empty table gives an empty store.
+Very long texts are encoded whole and may make a chunk of their own.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.shared import partitions_of, work_path
 
@@ -74,6 +77,8 @@ def _selectors(ids: np.ndarray) -> np.ndarray:
 def encode(ids: np.ndarray) -> bytes:
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
+    if n and int(ids.max()) >> 60:
+        raise ValueError("ids of 60 bits at most have a word")
     n_blocks = -(-n // BLOCK)
     if not n:
         return MAGIC + struct.pack("<QI", 0, 0) + np.zeros(1, "<u4").tobytes()
@@ -147,6 +152,9 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path)
         spec = json.loads(self.whole.to_str())
+        kinds = [[step["type"] for step in spec[part][steps]] for part, steps in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        if kinds != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or spec["model"]["type"] != "BPE" or spec["post_processor"]:
+            raise ValueError("a BPE tokenizer of normal form C, lower case and dropped white space is expected")
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._pieces = regex.compile(rf"(?:{split})|\n").findall
         self.merges = Tokenizer(self.whole.model)
@@ -215,17 +223,22 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder of a tokenizer file."""
+    return _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+
+
 def _tokenise(path: str, bounds: list[int], end_id: int):
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+        encode = encoder(path).ids
         cuts = np.array(bounds, np.int64)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             shard = np.searchsorted(cuts, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
             coded, held, first = [], 0, 0
-            for i, t in enumerate(encoder.ids(texts)):
+            for i, t in enumerate(encode(texts)):
                 coded.append(t + end)
                 held += len(coded[-1])
                 if held > 16_000_000 or i + 1 == len(ids):
@@ -266,6 +279,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, store: str, id_col: str =
     """Encode, sort by doc_id into shards of like row counts, and write the files."""
     spark = docs.sparkSession
     shards = shards or partitions_of(spark)
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be a whole number")
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     at = [i / shards for i in range(1, shards)]
     # One number a shard comes to the driver.
@@ -301,8 +316,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_start(store: DataFrame, read: DataFrame) -> DataFrame:
     sizes = store.select("shard", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
-    # A row a shard: as many as tasks, never as many as documents.
-    earlier = sizes.alias("a").join(sizes.alias("b"), F.col("b.shard") < F.col("a.shard"), "left").groupBy("a.shard").agg(F.coalesce(F.sum("b.n"), F.lit(0).cast("long")).alias("before"))
+    # A running sum over a row a shard: as many as tasks, never as many as documents.
+    earlier = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     return read.join(F.broadcast(earlier), "shard").withColumn("start", F.col("before") + F.col("place"))
 
 
