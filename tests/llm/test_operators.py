@@ -229,16 +229,60 @@ def test_best_fit(sizes):
         assert final[b] in packing.LENGTHS and fill <= final[b] and all(x < fill for x in packing.LENGTHS if x < final[b])
 
 
+def slow_fit(sizes, lengths=packing.LENGTHS):
+    """Free room and contents of each bin, by looking at every bin and every size."""
+    rest, bins = sorted(sizes, reverse=True), []
+    while rest:
+        s = rest.pop(0)
+        fits = [b for b in bins if b[0] >= s]
+        if fits:
+            b = min(fits, key=lambda b: (b[0], -b[2]))  # of equal rooms the one filled last
+        else:
+            def per_token(c):
+                room, held = c - s, s
+                k = 0
+                for x in reversed(rest):  # the shorter pieces still to come that fit beside this one
+                    if x <= room:
+                        k += x
+                return packing.cost(c) / (held + min(room, k))
+
+            b = [min((c for c in lengths if c >= s), key=per_token), [], 0]
+            bins.append(b)
+        b[0], b[2] = b[0] - s, -len(rest)
+        b[1].append(s)
+    return Counter((min(c for c in lengths if c >= sum(b[1])), tuple(sorted(b[1]))) for b in bins)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.integers(1, 8192), st.sampled_from([500, 1024, 1548, 2048])), max_size=40))
+def test_best_fit_is_the_slow_one(sizes):
+    bins, _, final = packing.best_fit(np.array(sizes, np.int64))
+    got = Counter((int(final[b]), tuple(sorted(int(sizes[i]) for i in np.flatnonzero(bins == b)))) for b in range(len(final)))
+    assert got == slow_fit(sizes)
+
+
 def test_packing(docs, none):
-    got = packing.pack(docs).toPandas()
-    lengths = Counter()
-    for i, t, *_ in rows():
-        lengths[i] += len(words(t)) + 1
-    by_doc = got.groupby("doc_id", dropna=False)["length"].sum()
-    assert {(None if k != k else int(k)): int(v) for k, v in by_doc.items()} == dict(lengths)
-    per = got.groupby("bin_id").agg(fill=("length", "sum"), cap=("capacity", "first"))
-    assert (per.fill <= per.cap).all() and (got.start == got.piece * max(packing.LENGTHS)).all()
-    assert packing.pack(none).count() == 0
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    got = packing.pack(docs, path, group_rows=9).collect()
+    want = Counter((i, tuple([*t.encode(x or "", add_special_tokens=False).ids, 2])) for i, x, *_ in rows())
+    parts = {}
+    for r in got:
+        assert r["n_tokens"] == len(r["ids"]) == sum(r["lengths"]) <= r["capacity"] and r["capacity"] in packing.LENGTHS
+        assert not any(r["n_tokens"] <= x < r["capacity"] for x in packing.LENGTHS)
+        at = 0
+        for i, k, s, n in zip(r["doc_ids"], r["pieces"], r["starts"], r["lengths"], strict=True):
+            parts.setdefault(i, []).append((k, s, tuple(r["ids"][at : at + n])))
+            at += n
+    for i in {r[0] for r in rows()}:  # the pieces are the documents' ids, whole and in order
+        mine = [x for (j, x), c in want.items() if j == i for _ in range(c)]
+        assert sorted(p for p in parts[i]) == sorted((k, s, x[s : s + 8192]) for x in mine for k, s in enumerate(range(0, len(x), 8192)))
+    assert len({r["bin_id"] for r in got}) == len(got) and packing.pack(none, path).count() == 0
+    flat = packing.pieces(packing.pack(docs, path))
+    assert flat.groupBy().sum("length").first()[0] == sum(len(x) * c for (_, x), c in want.items())
 
 
 @settings(max_examples=60, deadline=None)
@@ -248,6 +292,14 @@ def test_simple8b(ids, zeros):
     assert (token_store.decode(token_store.encode(x)) == x).all()
 
 
+def test_token_store_refuses(spark):
+    with pytest.raises(ValueError):
+        token_store.encode(np.array([1, 1 << 60], np.uint64))
+    assert (token_store.decode(token_store.encode(np.array([(1 << 60) - 1, 0], np.uint64))) == [(1 << 60) - 1, 0]).all()
+    with pytest.raises(TypeError):
+        token_store.write_store(spark.createDataFrame([("a", "b")], "doc_id string, text string"), "", "")
+
+
 def test_token_store(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -35,9 +35,11 @@ def op3_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from tidemark.llm.packing import pack
 
-    return pack(_docs(spark, sf_dir))
+    return pack(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
