@@ -521,6 +521,52 @@ def test_suffix_automaton(sample, text):
     assert a.phrases(text) == count
 
 
+def slow_language(text, samples):
+    """Bits a character from substring search alone, word by word."""
+    found = {}
+    for name, sample in samples.items():
+        phrases = n = 0
+        for run in (x for w in (text or "").lower().encode().split() for x in re.findall(r"[^\W\d_]+", w.decode())):
+            word = f" {run} "
+            n += len(word)
+            i = 0
+            while i < len(word):
+                k = 1
+                while i + k < len(word) and word[i : i + k + 1] in sample:
+                    k += 1
+                i += k if word[i] in sample else 1
+                phrases += 1
+        found[name] = phrases * math.log2(max(2, len(sample))) / n if n else None
+    return found
+
+
+def test_language_prediction_is_the_slow_one(spark):
+    samples = {"en": f" {BASE}", "de": f" {OTHER}", "xx": " zz qq "}
+    texts = [BASE, OTHER, "the hund sat", "zz qq zz", "old baum 12 near_das", "ÀÉ the", "123", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in language_id.identify(df, samples).collect():
+        bits = slow_language(texts[r["doc_id"]], samples)
+        if bits["en"] is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        order = sorted(bits, key=lambda k: (bits[k], k))
+        assert r["lang_pred"] == order[0] and r["bits_per_char"] == pytest.approx(bits[order[0]])
+        assert r["score"] == pytest.approx(bits[order[1]] / (bits[order[0]] + bits[order[1]]))
+
+
+def test_language_samples_cover_whole_texts(spark):
+    """Segments come from all places of a text; null ids take no places; too many labels raise."""
+    text = " ".join(f"{'abcdefghij'[k // 100]}word" for k in range(1000))
+    df = spark.createDataFrame([(1, text, "en"), (None, "nothing here", "en"), (2, "x", None)], "doc_id long, text string, lang string")
+    got = language_id.collect_samples(df, segments=100, chars=50)
+    assert set(got) == {"en"} and all(f"{c}word" in got["en"] for c in "abcdefghij") and "nothing" not in got["en"]
+    few = language_id.collect_samples(df, segments=5, chars=50)["en"]
+    assert len(few) <= 5 * 51 + 2 and "jword" in got["en"]
+    many = spark.createDataFrame([(k, "text", f"l{k}") for k in range(300)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.collect_samples(many)
+
+
 def test_language_id(spark, docs, none):
     got = language_id.language_id(docs).collect()
     letters = {r[0]: bool(re.search(r"[^\W\d_]", r[1] or "")) for r in rows()}

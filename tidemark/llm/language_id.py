@@ -1,16 +1,20 @@
 """Language identification by cross-parsing against suffix automata of labelled text.
 
-A language is learned from a bounded sample of its labelled rows: at most ``SAMPLE_ROWS`` texts, chosen by a hash of
-the doc_id, of each at most ``SAMPLE_CHARS`` code points.  Its letter runs, lower-cased and joined by blanks, make a
-suffix automaton.  A text is parsed into phrases, each the longest match that the automaton has from there on; a
+A language is learned from a bounded sample of its labelled rows: whole texts are cut into segments of
+``SEGMENT_CHARS`` code points, every one of them with the same chance, and the ``SEGMENTS`` of least hash (of doc_id and
+place) are taken.  Their letter runs, lower-cased and joined by blanks, make a suffix automaton.  A text is parsed into phrases, each the longest match that the automaton has from there on; a
 phrase ends at a word's end at the latest, so a text's phrases are the sum over its words and each distinct word is
 parsed once.  With c phrases over n letters and boundaries, against a sample of m characters, a language needs
 ``c * log2(m) / n`` bits a character, the estimate of the cross entropy; the language that needs least wins, ties go
 to the smaller name.
 
+At most ``LANGUAGES`` labels can be learned, which bounds what is broadcast; more raise.
+
 Results: ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned.  The score is
 s / (b + s) for the best language's bits b and the second's s (1 with one language): 0.5 is a tie.  Null labels and
-null doc_ids are harmless (a null doc_id counts as an empty string in the split).  Only the named columns are read.
+null doc_ids aren't learned from (a null doc_id counts as an empty string in the split).  Repeated rows have a row each;
+of rows that share label, doc_id and place the least segment counts.  Very long texts are parsed whole.  An empty table
+gives an empty result.  Only the named columns are read, so others can't clash; ``recognised`` passes all of them on.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 24
-SAMPLE_CHARS = 4_000
+SEGMENTS = 64
+SEGMENT_CHARS = 1_000
+LANGUAGES = 256
 CACHE_WORDS = 400_000
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
@@ -135,18 +140,22 @@ def held_out(doc_id: Column, mod: int = 3, rest: int = 1) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod == rest
 
 
-def collect_samples(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Letter runs of a bounded sample by language: ``rows`` texts and ``rows * chars`` code points at most."""
-    usable = train.where(F.col(lang_col).isNotNull() & F.rlike(F.col(text_col), F.lit(r"\p{L}")))
-    ranked = usable.select(F.col(lang_col).alias("l"), F.col(id_col).alias("d"), F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")).alias("u"))
+def collect_samples(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", segments: int = SEGMENTS, chars: int = SEGMENT_CHARS) -> dict[str, str]:
+    """Letter runs of a bounded sample by language: ``segments`` of ``chars`` code points at most."""
+    named = train.select(train[lang_col].alias("l"), train[id_col].cast("string").alias("d"), train[text_col].alias("t"))
+    usable = named.where(F.col("l").isNotNull() & F.col("d").isNotNull() & F.rlike("t", F.lit(r"\p{L}")))
+    cut = usable.select("l", "d", F.explode(F.sequence(F.lit(0), F.ceil(F.length("t") / chars).cast("int") - 1)).alias("k")).withColumn("u", F.xxhash64("d", "k", F.lit("sample")))
     # Spark keeps the first rows of each language in every task before it shuffles them (WindowGroupLimit).
-    first = ranked.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("u", "d"))).where(F.col("k") <= rows)
-    chosen = [(r["l"], r["d"]) for r in first.select("l", "d").collect()]
-    ids = sorted({d for _, d in chosen if d is not None})
-    named = usable.where(F.col(id_col).isin(ids)).select(F.col(lang_col).alias("l"), F.col(id_col).alias("d"), F.left(F.col(text_col), F.lit(chars)).alias("t"))
-    found = named.dropDuplicates(["l", "d"]).collect() if ids else []
+    first = cut.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("u", "d", "k"))).where(F.col("n") <= segments)
+    chosen = first.select("l", "d", "k").distinct().limit(segments * LANGUAGES + 1).collect()
+    if len({r["l"] for r in chosen}) > LANGUAGES or len(chosen) > segments * LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not chosen:
+        return {}
+    picks = F.broadcast(train.sparkSession.createDataFrame(chosen, "l string, d string, k int"))  # as many rows at most
+    found = usable.join(picks, ["l", "d"]).groupBy("l", "d", "k").agg(F.min(F.substring(F.col("t"), F.col("k") * chars + 1, F.lit(chars))).alias("t"))
     texts: dict[str, list] = {}
-    for r in sorted(found, key=lambda r: (r["l"], r["d"])):
+    for r in sorted(found.collect(), key=lambda r: (r["l"], r["d"], r["k"])):
         texts.setdefault(r["l"], []).append(" ".join(runs(r["t"])))
     return {k: " " + " ".join(v) + " " for k, v in texts.items() if any(v)}
 
