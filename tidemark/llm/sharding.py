@@ -16,7 +16,8 @@ goes by buckets of bounded size and running sums over the buckets' counts.
 Law ``rows``: counts differ by one at most.  Slots are gapless from 0 in each shard.
 
 Results: a null text has 0 bytes and the empty text's checksum and is linked with empty texts.  Repeated rows count
-one by one.  An empty table gives an empty result.  Only the id and the text column are read.
+one by one.  An empty table gives an empty result.  Only the id and the text column are read, so others can't clash; of
+a very long text only its size and hashes go on.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SHARDS = 40
 #: Rounds without more agreement before propagation stops.
 PATIENCE = 3
 BUCKET_ROWS = 20_000
+#: Links above such a part of the rows are joined by broadcast.
+HOT = 1000
 
 
 def _by_shard(values: dict[int, int | float], shard: Column, default) -> Column:
@@ -57,13 +60,28 @@ def _claims(placed: DataFrame, quota: int, shards: int) -> tuple[dict[int, list[
     return claims, free
 
 
+def _on_link(rows: DataFrame, table: DataFrame, large: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each of ``keys`` (link, perhaps shard).
+
+    The rows of ``large`` links, each above a ``HOT``th of all rows, meet a broadcast part of the table, of ``HOT`` rows
+    a shard at most; so no link has a task of its own, and a task's other keys have a ``HOT``th of the rows at most.
+    """
+    hot_rows, hot_table = (x.join(F.broadcast(large), "link", "left_semi") for x in (rows, table))
+    other_rows, other_table = (x.join(F.broadcast(large), "link", "left_anti") for x in (rows, table))
+    return hot_rows.join(F.broadcast(hot_table), keys, how).unionByName(other_rows.join(other_table, keys, how))
+
+
 def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
-    """node, shard: ``nodes`` (node) moved towards their neighbours; ``links`` (node, link) may have many rows a node."""
+    """node, shard, tied (0 where linked, else 1): ``nodes`` (node) moved towards their neighbours.
+
+    ``links`` (node, link) may have many rows a node; their nodes are of ``nodes``.
+    """
     total = nodes.count()
     quota = total // shards
     # A link of one document draws nothing.
-    shared = links.groupBy("link").count().where("count > 1").select("link")
-    tied = materialize(links.join(shared, "link").select("node", "link"), "shard-links")
+    shared = materialize(links.groupBy("link").agg(F.count("*").alias("n")).where("n > 1"), "shard-shared")
+    hot = materialize(shared.where(F.col("n") * HOT > links.count()).select("link"), "shard-hot")  # fewer than HOT rows
+    tied = materialize(_on_link(links.select("node", "link"), shared.select("link"), hot, ["link"]), "shard-links")
     start = F.pmod(F.xxhash64("node", F.lit("start")), F.lit(shards)).cast("int")
     state = nodes.select("node", start.alias("shard"))
     claims, free = _claims(tied.withColumn("shard", start), quota, shards)
@@ -92,19 +110,21 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         open_ = cells.where((_by_shard(room, F.col("shard"), 0) > 0))
         lead = open_.groupBy("link").agg(F.max(F.struct("c", F.xxhash64("link", "shard"), "shard")).alias("top")).select("link", F.col("top.shard").alias("to"), F.col("top.c").alias("top_c"))
         wish = cells.join(lead, "link").where("to <> shard").withColumn("gain", F.col("top_c") - F.col("c") + 1)
-        votes = placed.join(wish.select("link", "shard", "to", "gain"), ["link", "shard"])
+        votes = _on_link(placed, wish.select("link", "shard", "to", "gain"), hot, ["link", "shard"])
         moves = votes.groupBy("node").agg(F.max_by("to", F.struct("gain", "to")).alias("to"), F.max_by("link", F.struct("gain", "to")).alias("link"), F.max("gain").alias("gain")).where("gain > 0")
         moves = materialize(moves.join(dealt, "node", "left_anti") if claims else moves, "shard-moves")
         demand = {r["to"]: r["count"] for r in moves.groupBy("to").count().collect()}  # a row a shard
         if not demand:
             break
         share = {s: min(1.0, room[s] / demand[s]) if demand.get(s) else 0.0 for s in range(shards)}
-        # The documents of a link draw alike, so that small groups move whole; a link above a tenth of a quota draws by document.
+        # The documents of a link draw alike, so that small groups move whole; a link above a tenth of a quota draws by
+        # document.  There are ten times as many of those as shards, times the links of a document.
         large = cells.groupBy("link").agg(F.sum("c").alias("n")).where(F.col("n") > max(1, quota // 10)).select("link", F.lit(True).alias("large"))
-        drawn = moves.join(large, "link", "left").withColumn("u", F.when(F.col("large"), unit("node", F.lit(k))).otherwise(unit("link", F.lit(k))))
+        drawn = moves.join(F.broadcast(large), "link", "left").withColumn("u", F.when(F.col("large"), unit("node", F.lit(k))).otherwise(unit("link", F.lit(k))))
         taken = drawn.where(F.col("u") < _by_shard(share, F.col("to"), 0.0)).select("node", "to")
         state = materialize(state.join(taken, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")), "shard-state")
-    return state
+    mark = tied.select("node").distinct().withColumn("tied", F.lit(0))
+    return state.join(mark, "node", "left").select("node", "shard", F.coalesce("tied", F.lit(1)).alias("tied"))
 
 
 def exact_slots(state: DataFrame, shards: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -114,8 +134,9 @@ def exact_slots(state: DataFrame, shards: int, bucket_rows: int = BUCKET_ROWS) -
     quota = {s: total // shards + (s < total % shards) for s in range(shards)}
     buckets = max(1, total // shards // bucket_rows + 1)
     salt = F.when(F.col("c") > bucket_rows, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / bucket_rows))).otherwise(0)
-    cells = state.where("tied = 0").groupBy("link", "shard").agg(F.count("*").alias("c")).where(F.col("c") > bucket_rows)
-    spread = state.join(cells, ["link", "shard"], "left").withColumn("bucket", F.struct("tied", F.pmod(F.xxhash64("link"), F.lit(buckets)).alias("h"), F.coalesce(salt, F.lit(0)).cast("long").alias("salt"))).drop("c")
+    cells = materialize(state.where("tied = 0").groupBy("link", "shard").agg(F.count("*").alias("c")).where(F.col("c") > min(bucket_rows, max(1, total // HOT))), "shard-large")
+    hot = cells.where(F.col("c") * HOT > total).select("link").distinct()  # fewer than HOT rows
+    spread = _on_link(state, cells, hot, ["link", "shard"], "left").withColumn("bucket", F.struct("tied", F.pmod(F.xxhash64("link"), F.lit(buckets)).alias("h"), F.coalesce(salt, F.lit(0)).cast("long").alias("salt"))).drop("c")
     counts = spread.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
@@ -151,7 +172,6 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     )
     nodes = materialize(picked, "shard-nodes")
     state = propagate(nodes.select("node"), nodes.select("node", "link"), shards, rounds)
-    groups = nodes.groupBy("link").count().where("count > 1").select("link", F.lit(0).alias("tied"))
-    full = nodes.select("node", "link").join(groups, "link", "left").join(state, "node").select("node", "link", "shard", F.coalesce("tied", F.lit(1)).alias("tied"))
+    full = nodes.select("node", "link").join(state, "node")
     placed = exact_slots(materialize(full, "shard-full"), shards, bucket_rows)
     return nodes.join(placed, "node").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
