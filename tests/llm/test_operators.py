@@ -66,13 +66,39 @@ def test_key_collisions_chain(spark, docs, monkeypatch):
     """With one key for all texts the chain's byte comparison alone tells them apart."""
     import pyarrow as pa
 
-    schema = pa.schema([("pid", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("keep_id", pa.int64()), ("keep_uid", pa.int64()), ("total", pa.int64()), ("row", pa.struct([("doc_id", pa.int64()), ("text", pa.string())]))])
-    table = [{"pid": i, "key": 5, "n": 1, "keep_uid": i, "row": {"doc_id": 9 - i, "text": t}} for i, t in enumerate(["a", "b", "a", "c", "b"])]
-    batch = pa.RecordBatch.from_pylist(table, schema=pa.schema([("pid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("keep_uid", pa.int64()), schema.field("row")]))
+    schema = pa.schema([("bucket", pa.int32()), ("pid", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("keep_id", pa.int64()), ("keep_uid", pa.int64()), ("total", pa.int64()), ("row", pa.struct([("doc_id", pa.int64()), ("text", pa.string())]))])
+    table = [{"bucket": 0, "pid": i, "key": 5, "n": 1, "keep_uid": i, "row": {"doc_id": 9 - i, "text": t}} for i, t in enumerate(["a", "b", "a", "c", "b"])]
+    batch = pa.RecordBatch.from_pylist(table, schema=pa.schema([("bucket", pa.int32()), ("pid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("keep_uid", pa.int64()), schema.field("row")]))
     out = pa.Table.from_batches(exact_dedup._own(schema, 0, 1)(iter([batch]))).to_pylist()
     assert {(r["pid"], r["keep_id"], r["total"], r["place"]) for r in out} == {(0, 7, 2, 0), (2, 7, 2, 0), (1, 5, 2, 1), (4, 5, 2, 1), (3, 6, 1, 2)}
 
 
+def test_hot_text_leaves_a_task_once(spark):
+    """A third of all rows, many batches: one representative a task, and none of the owners' rows stand out."""
+    import pyarrow as pa
+
+    row = pa.struct([("doc_id", pa.int64()), ("text", pa.string())])
+    schema = pa.schema([("uid", pa.int64()), ("pid", pa.int64()), ("member_id", pa.int64()), ("sha", pa.string()), ("key", pa.int64()), ("n", pa.int64()), ("keep_uid", pa.int64()), ("row", row)])
+    batches = [pa.RecordBatch.from_arrays([pa.array([{"doc_id": 100 * b + k, "text": "hot" if k % 3 == 0 else f"own {b} {k}"} for k in range(99, -1, -1)], row)], ["row"]) for b in range(20)]
+    for room in (1 << 20, 50):  # the second holds the first texts only
+        out = pa.Table.from_batches(exact_dedup._pre_aggregate(schema, 0, 1, room)(iter(batches))).to_pylist()
+        reps = [r for r in out if r["uid"] is None and r["row"]["text"] == "hot"]
+        assert [(r["n"], r["row"]["doc_id"]) for r in reps] == [(680, 0)] and len(out) == 2000 + 1 + 20 * 66
+        assert {r["pid"] for r in out if r["sha"] == hashlib.sha256(b"hot").hexdigest()} == {reps[0]["pid"]}
+
+
+def test_index_finds_further_documents(spark, docs):
+    _, index = exact_dedup.build_index(docs, bucket_rows=2)
+    assert len(set(index.buckets)) > 2
+    more = spark.createDataFrame([(900, "a \t b"), (901, "new"), (902, None), (903, BASE.replace(" ", "\n") * 4)], "doc_id long, text string")
+    want = {r["text_sha256"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs).collect()}
+    sha = lambda t: hashlib.sha256(re.sub(SPACE, " ", t or "").encode()).hexdigest()
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in index.find(more).collect()}
+    assert got == {r["doc_id"]: want.get(sha(r["text"]), (None, None)) for r in more.collect()} and got[901] == (None, None) != got[900]
+    key = docs.select(F.xxhash64(F.lit("a b")).alias("k")).first()["k"]
+    assert key == exact_dedup._key(b"a b")
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.dictionaries(st.integers(0, 255), st.integers(1, 50), max_size=60), st.integers(1, 80))
 def test_directory(histogram, capacity):
@@ -463,10 +489,11 @@ def test_adaptive_thresholds(spark):
     assert not got[5000] and got[5001] and got[5002] and all(got[i] for i in range(200))
 
 
-def slow_count(raw, pieces):
+def slow_count(raw, pieces, longest=128):
+    """The best segmentation of every prefix from those of all shorter ones; no piece is longer than ``longest``."""
     best = [(0.0, 0)] + [(-math.inf, 0)] * len(raw)
     for i in range(1, len(raw) + 1):
-        for j in range(i):
+        for j in range(max(0, i - longest), i):
             s = pieces.get(raw[j:i])
             if s is not None:
                 v = best[j][0] + s, best[j][1] + 1
@@ -475,36 +502,30 @@ def slow_count(raw, pieces):
     return best[-1][1]
 
 
-def test_token_counts(docs, none):
+def test_token_counts(docs, none, tmp_path):
     import public_tokenizers
     import regex
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     pieces = token_counts.load_pieces(path)
+    assert max(map(len, pieces)) <= 128
     find = regex.compile(public_tokenizers.PATTERN).findall
-    counted = {}
-    want = Counter()
-    for i, t, *_ in rows():
-        total = 0
-        for p in find(t or ""):
-            if p not in counted:
-                counted[p] = slow_count(p.encode(), pieces) if len(p) < 200 else None
-            total = None if counted[p] is None or total is None else total + counted[p]
-        want[i, total, len(find(t or ""))] += 1
-    got = Counter()
-    known = {(i, n) for i, total, n in want if total is None}
-    for r in token_counts.token_counts(docs, path, public_tokenizers.PATTERN).collect():
-        got[r["doc_id"], None if (r["doc_id"], r["n_pre_tokens"]) in known else r["n_tokens"], r["n_pre_tokens"]] += 1
-    assert got == want
-    small = token_counts.PrefixCounter(pieces, 50)
-    large = token_counts.PrefixCounter(pieces)
-    assert [small.count(p) for p in counted if len(p) < 200] == [large.count(p) for p in counted if len(p) < 200]
+    pre = {p for _, t, *_ in rows() for p in find(t or "")}
+    assert max(map(len, pre)) == 30_000  # long pre-tokens too
+    counted = {p: slow_count(p.encode(), pieces) for p in pre}
+    want = Counter((i, sum(counted[p] for p in find(t or "")), len(find(t or ""))) for i, t, *_ in rows())
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_pre_tokens"]) for r in token_counts.token_counts(docs, path, public_tokenizers.PATTERN).collect()) == want
+    for nodes in (50, 1 << 20):
+        counter = token_counts.PrefixCounter(pieces, nodes)
+        assert {p: n for p, n in counter.learn(pre).items() if p in pre} == counted == {p: n for p, n in counter.learn(pre).items() if p in pre}
+        assert counter.nodes <= max(nodes, 1) and len(counter.counts) <= nodes
     shared = token_counts.PrefixCounter(pieces)
-    shared.count("thinking")
-    before = shared.scored
-    shared.count("thinker")
-    assert shared.scored - before == 2
+    shared.learn({"thinking", "thinker"})
+    assert shared.scored == len("thinking") + 2
     assert token_counts.token_counts(none, path, public_tokenizers.PATTERN).count() == 0
+    (tmp_path / "ranks").write_bytes(b"YQ== 0\nYg== 1\n")
+    with pytest.raises(ValueError):
+        token_counts.load_pieces(str(tmp_path / "ranks"))
 
 
 @settings(max_examples=40, deadline=None)

@@ -1,16 +1,21 @@
 """Token counts under a unigram model, by dynamic programming over a trie of pre-tokens.
 
-Texts are cut into pre-tokens by the vocabulary's pattern.  Each distinct pre-token is inserted once into a trie whose
-nodes keep the forward state of their prefix: the best score of any segmentation of the prefix, its number of tokens,
-and the vocabulary pieces begun and not ended.  Pre-tokens with a common prefix share those states, so a prefix is
-scored once; a pre-token's count is kept when it ends.  The trie belongs to one worker and holds ``MAX_NODES`` nodes at
-most; when it is full it stays as it is, with the frequent prefixes that came first, and further ones are scored from
-where they leave it.  So nothing is shuffled and memory is bounded.
-
-The score of a piece of rank r is -ln(r + 1) - ln(H), a Zipf prior over the public vocabulary (nothing is trained).
+Texts are cut into pre-tokens by the vocabulary's pattern.  Of every Arrow batch the distinct pre-tokens that aren't
+known yet are put in order and inserted once each into a trie, whose nodes keep the forward state of their prefix: the
+best score of any segmentation of the prefix, its number of tokens, and the vocabulary pieces begun and not ended.
+Pre-tokens with a common prefix share those states, so a prefix is scored once; where a pre-token ends its count is
+stored.  Texts then add up the stored counts of their pre-tokens.  Trie and counts belong to one worker, which keeps
+them from batch to batch, and hold ``MAX_NODES`` nodes at most; a full trie stays as it is, with the frequent prefixes
+that came first, and further pre-tokens are scored from where they leave it.  So nothing is shuffled and memory is
+bounded: one trie over all pre-tokens of the input would need each (text, pre-token) pair to cross the network twice.
+
+The score of a piece of rank r is -ln(r + 1) - ln(H), a Zipf law over the public vocabulary's order: scores fitted to a
+corpus would be a trained tokenizer, and tokenizers are never trained here.  Counts are this model's own.
 Best is the highest score; of equal scores (to 1e-9) the fewer tokens.
 
-Results: null and empty texts have 0 tokens.  Only the id and the text column are read.
+Results: null and empty texts have 0 tokens.  Repeated rows have a row each, and an empty table gives an empty result.
+Pre-tokens and texts of any length are scored whole.  A vocabulary without a piece for each single byte raises, for it
+leaves some texts without a segmentation.  Only the id and the text column are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -24,12 +29,15 @@ import regex
 from pyspark.sql import DataFrame
 
 MAX_NODES = 400_000
+PORTION = 1_000_000
 TIE = 1e-9
 
 
 def load_pieces(path: str) -> dict[bytes, float]:
     """Piece to log-probability, from a rank file."""
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb") if line.strip())}
+    if missing := 256 - len({p for p in ranks if len(p) == 1}):
+        raise ValueError(f"{missing} single bytes have no piece")
     total = math.log(sum(1 / (r + 1) for r in ranks.values()))
     return {p: -math.log(r + 1) - total for p, r in ranks.items()}
 
@@ -79,34 +87,51 @@ class PrefixCounter:
         self.scored += 1
         return Node(best, count, begun)
 
-    def count(self, pre_token: str) -> int:
-        found = self.counts.get(pre_token)
-        if found is None:
-            node, raw = self.root, pre_token.encode()
-            for i, b in enumerate(raw):
-                child = node.children.get(b)
-                if child is None:
-                    break
-                node = child
-            else:
-                i = len(raw)
-            keep = self.nodes + len(raw) - i <= self.max_nodes
-            for b in raw[i:]:
-                child = self._extend(node, b)
-                if keep:
-                    node.children[b] = child
-                node = child
+    def insert(self, pre_token: str) -> int:
+        """The pre-token's number of tokens; states of a prefix that is in the trie aren't scored again."""
+        node, raw = self.root, pre_token.encode()
+        at = 0
+        for b in raw:
+            child = node.children.get(b)
+            if child is None:
+                break
+            node, at = child, at + 1
+        keep = self.nodes + len(raw) - at <= self.max_nodes
+        for b in raw[at:]:
+            child = self._extend(node, b)
             if keep:
-                self.nodes += len(raw) - i
-            found = node.count
-            if len(self.counts) < self.max_nodes:
-                self.counts[pre_token] = found
-        return found
+                node.children[b] = child
+            node = child
+        if keep:
+            self.nodes += len(raw) - at
+        return node.count
+
+    def learn(self, distinct: set[str]) -> dict[str, int]:
+        """Counts of distinct pre-tokens, each new one inserted once."""
+        counts, new = self.counts, sorted(distinct.difference(self.counts))
+        found = {p: self.insert(p) for p in new}
+        if len(counts) + len(found) <= self.max_nodes:
+            counts.update(found)
+            return counts
+        return {p: found[p] if p in found else counts[p] for p in distinct}
 
 
 _counters: dict[str, PrefixCounter] = {}
 
 
+def _portions(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts of about ``PORTION`` characters at a time."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t.as_py() or "")
+        size += len(some[-1])
+        if size >= PORTION:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _count(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _counters:
@@ -114,12 +139,12 @@ def _count(path: str, pattern: str):
         counter, find = _counters[path], regex.compile(pattern).findall
         for batch in batches:
             n_tokens, n_pre, n_bytes = [], [], []
-            for t in batch.column(1):
-                text = t.as_py() or ""
-                pre = find(text)
-                n_tokens.append(sum(map(counter.count, pre)))
-                n_pre.append(len(pre))
-                n_bytes.append(len(text.encode()))
+            for some in _portions(batch.column(1)):
+                cut = [find(t) for t in some]
+                counts = counter.learn(set().union(*cut))
+                n_tokens += [sum(map(counts.__getitem__, pre)) for pre in cut]
+                n_pre += map(len, cut)
+                n_bytes += [len(t.encode()) for t in some]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_tokens, n_pre, n_bytes))], ["doc_id", "n_tokens", "n_pre_tokens", "n_bytes"])
 
     return run
