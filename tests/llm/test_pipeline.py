@@ -1,10 +1,12 @@
 """The pipeline's stages against what each must do to its own input."""
 
-import re
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from tidemark.llm.packing import LENGTHS
 
@@ -35,14 +37,51 @@ def test_stages(spark, docs, tmp_path):
         if name != "packing":
             assert back.columns == docs.columns
         now = back
-    ids = {n: sorted(r["doc_id"] for r in d.select("doc_id").collect()) for n, d in seen.items()}
+    ids = {n: sorted(r["doc_id"] for r in d.select("doc_id").collect()) for n, d in seen.items() if n != "packing"}
     assert set(range(60)) <= set(ids["language_id"]) and not {102, 103, 104} & set(ids["language_id"])
     assert 0 in ids["exact_dedup"] and not {100, 101} & set(ids["exact_dedup"])
     assert 105 in ids["near_dedup"] and 106 not in ids["near_dedup"]
     assert set(ids["mixing"]) <= set(ids["near_dedup"])
-    total = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) + 1 for r in seen["mixing"].collect())
-    pieces = seen["packing"].toPandas()
-    assert pieces.length.sum() == total and set(pieces.capacity) <= set(LENGTHS)
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter((r["doc_id"], *t.encode(r["text"], add_special_tokens=False).ids, 2) for r in seen["mixing"].collect())
+    parts = {}
+    for r in seen["packing"].collect():
+        assert r["n_tokens"] == len(r["ids"]) <= r["capacity"] and r["capacity"] in LENGTHS
+        at = 0
+        for i, s, n in zip(r["doc_ids"], r["starts"], r["lengths"], strict=True):
+            parts.setdefault(i, []).append((s, tuple(r["ids"][at : at + n])))
+            at += n
+    for i, mine in parts.items():  # every copy of a document is there, whole
+        texts = [x[1:] for x, c in want.items() if x[0] == i for _ in range(c)]
+        assert sorted(mine) == sorted((s, x[s : s + max(LENGTHS)]) for x in texts for s in range(0, len(x), max(LENGTHS)))
+    assert set(parts) == {x[0] for x in want}
+
+
+def test_names_of_the_operators_own(spark):
+    """Every stage takes columns that are named like those it makes for itself."""
+    names = "d s n c uid pid sha key keep_uid prefix bucket total row node sig keys id gone fp size rows class q bin mass extra copies times part ids _d _s _n _c _size _copy _gone root a b x y".split()
+    para = "the quick brown fox jumps over the lazy dog while the old man reads a book under the tall tree "
+    data = [(i, para * 3 + f"number {i // 2} " * 5, "en", f"s{i % 2}", *["v"] * len(names)) for i in range(12)] + [(None,) * (4 + len(names))]
+    df = spark.createDataFrame(data, ", ".join(["doc_id long, text string, lang string, source string", *[f"`{n}` string" for n in names]]))
+    now = df
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, "")
+        assert out.count() > 0
+        if name != "packing":
+            assert out.columns == df.columns
+            now = out
+
+
+def test_run_leaves_its_stages_only(spark, tmp_path, docs):
+    import os
+
+    from tidemark.llm import shared
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(os.listdir(f"{shared.shared_dir(spark)}/tidemark"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(f"{shared.shared_dir(spark)}/tidemark")) - before}
+    assert left == {*(f"pipeline-{name}" for name, _ in corpus_pipeline.STAGES[:-1]), "pack-ids"}
 
 
 def test_near_dedup_reaches_the_threshold(spark):
