@@ -5,7 +5,7 @@
 3. ``near_dedup`` keeps one document of every group linked by five-word Jaccard of 0.8 or more, that of the smallest
    doc_id: operator 6's byte-position index and count filter, with a signature long enough for that similarity.
 4. ``mixing`` repeats and drops rows so that sources come near their target weights.
-5. ``packing`` lays what is left into sequences of the permitted lengths, one row a piece.
+5. ``packing`` lays the token ids of what is left into sequences of the permitted lengths, one row a sequence.
 
 Every stage is written as Parquet and read again as the next one's input; all but the last return the columns of
 their input.  Nulls, empty tables and further columns are treated as the operators' texts say.
@@ -13,6 +13,7 @@ their input.  Nulls, empty tables and further columns are treated as the operato
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.exact_dedup import deduplicated
@@ -40,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
