@@ -14,9 +14,13 @@ The search stays the operator's:
 3. *Verification* by the whole shingle sets.
 
 Candidates don't grow with the square of a group.  Each node first meets two nodes of each of its lists, picked by a
-hash; that joins most of a large group.  What isn't in its list's largest component after ``ROUNDS`` such rounds then
-meets every member of the list that is still in another component, in blocks of a salted join, so no candidate pair
-that could join two components is left out.  No list is capped.  Texts of equal shingle sets are one node.
+hash; that joins most of a large group.  After ``ROUNDS`` such rounds the lists that still hold several components are
+compared whole, in blocks of ``BLOCK_ROWS``: nodes of different components are tallied over more positional bytes, each
+pair in the first of its common lists only, and kept if they reach the counts of ``LONG`` (all but 0.00002 of the pairs
+at 0.8 do, few below 0.75).  The best pair of each node and component is verified first, then whatever pairs still lie
+in different components.  So what is verified grows with the pairs near the threshold that don't join, not with the
+square of a group; no candidate pair that could join two components is left out, and no list is capped.  Texts of equal
+shingle sets are one node.
 
 Results: null counts as the empty text; a text of fewer than five words is one shingle, and texts without words link
 with one another.  Rows alike in id and text, ties and empty tables need no care of the caller's; only the id and the
@@ -36,19 +40,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import HOT, materialize, on_key, partitions_of
 
 SHINGLE = 5
 SIMILAR = 0.8
 BYTES, LISTED = 64, 4
 MATCHES = 38
-ROUNDS = 2
+#: Positional bytes and least matches of the long count, a cheap one first.
+LONG = ((256, 176), (1024, 764))
+ROUNDS = 1
 BLOCK_ROWS = 4096
 SEED = 42
 
 _random = np.random.default_rng(SEED)
-_TIMES = _random.integers(0, 1 << 63, BYTES, np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIP = _random.integers(0, 1 << 63, BYTES, np.uint64)
+_TIMES = _random.integers(0, 1 << 63, LONG[-1][0], np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _random.integers(0, 1 << 63, LONG[-1][0], np.uint64)
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -65,11 +71,11 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(SEED)), np.uint64, total))
 
 
-def signature(hashes: np.ndarray) -> bytes:
+def signature(hashes: np.ndarray, size: int = BYTES) -> bytes:
     """A byte for each position: the last of the least hash, scrambled, under the position's permutation."""
-    least = np.full(BYTES, np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(size, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 2048):
-        least = np.minimum(least, ((hashes[None, at : at + 2048] ^ _FLIP[:, None]) * _TIMES[:, None]).min(axis=1))
+        least = np.minimum(least, ((hashes[None, at : at + 2048] ^ _FLIP[:size, None]) * _TIMES[:size, None]).min(axis=1))
     mixed = (least ^ (least >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
     return (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
 
@@ -109,6 +115,66 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= MATCHES))
 
 
+def _lengthened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sigs = [signature(np.frombuffer(h, np.uint64), LONG[-1][0]) for h in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.binary())], ["node", "long"])
+
+
+def _across(best: bool):
+    """Rows come by list, or by pair of a list's blocks: pairs of different components that pass the long counts.
+
+    With ``best`` a node leaves one pair for each other component in the block, that of the most matches.
+    """
+
+    def pairs(key: int, ca: int, cb: int, rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        chunk, node, root = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:3])
+        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        left, right = np.flatnonzero(chunk == ca), np.flatnonzero(chunk == cb)
+        for n, i in enumerate(left):
+            other = right[n + 1 :] if ca == cb else right
+            other = other[root[other] != root[i]]
+            for size, least in LONG:
+                if not len(other):
+                    break
+                same = sig[other, :size] == sig[i, :size]
+                tally = same.sum(axis=1)
+                first = same[:, :BYTES].reshape(-1, BYTES // LISTED, LISTED).all(axis=2).argmax(axis=1)
+                kept = (first == key >> 32) & (tally >= least)
+                other, tally = other[kept], tally[kept]
+            if best and len(other):
+                other = other[np.lexsort((node[other], -tally, root[other]))]
+                other = other[np.flatnonzero(np.concatenate([[True], root[other[1:]] != root[other[:-1]]]))]
+            if len(other):
+                yield np.full(len(other), node[i]), node[other]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        at, rows = None, []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("key", "ca", "cb", "chunk", "node", "root", "long")]
+            for key, ca, cb, *row in zip(*cols, strict=True):
+                if (key, ca, cb) != at:
+                    for some in pairs(*at, rows) if at else ():
+                        found.append(some)
+                        n += len(some[0])
+                        if n >= 10_000:
+                            yield out()
+                            found, n = [], 0
+                    at, rows = (key, ca, cb), []
+                rows.append(row)
+        found += pairs(*at, rows) if at else ()
+        if found:
+            yield out()
+
+    return run
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
@@ -129,9 +195,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = picked.schema["doc_id"].dataType.simpleString()
     signed = materialize(picked.mapInArrow(_signed, f"doc_id {kind}, node long, sig binary"), "near-signatures")
     nodes = materialize(signed.groupBy("node").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "near-nodes")
-    lists = nodes.select("node", "sig").mapInArrow(_listed, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
-    shared = lists.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    lists = materialize(lists.join(shared, "key"), "near-lists")  # lists of one node are gone
+    lists = materialize(nodes.select("node", "sig").mapInArrow(_listed, "node long, keys array<long>").select("node", F.explode("keys").alias("key")), "near-postings")
+    sizes = materialize(lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")  # lists of one node are gone
+    hot = materialize(sizes.where(F.col("n") * HOT > lists.count()).select("key"), "near-hot")
+    lists = materialize(on_key(lists, sizes.select("key"), hot, ["key"]), "near-lists")
 
     # One text of each listed node, for its set.
     rows = lists.select("node").distinct().join(nodes, "node").select("node", "sig", "doc_id")
@@ -139,32 +206,43 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = materialize(found.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]), "near-sets")
     sigs = nodes.select("node", "sig")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, counted: bool = False) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        counted = pairs.join(sigs.toDF("a", "x"), "a").join(sigs.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_counted, "a long, b long")
-        counted = materialize(counted, "near-counted")
-        return counted.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+        if not counted:
+            both = pairs.join(sigs.toDF("a", "x"), "a").join(sigs.toDF("b", "y"), "b").select("a", "b", "x", "y")
+            pairs = materialize(both.mapInArrow(_counted, "a long, b long"), "near-counted")
+        return pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+
+    def join_up(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Components, and the rows of the lists that hold several."""
+        roots = components(links)
+        now = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+        return roots, on_key(now, mixed, hot, ["key"])
 
     links, placed = None, lists.withColumn("root", F.col("node"))
     for k in range(rounds):
+        placed = materialize(placed, "near-placed") if k else placed
         spun = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "root")
         ends = placed.groupBy("key").agg(F.min(spun).alias("low"), F.max(spun).alias("high"))
-        met = placed.join(ends, "key").select("node", "root", F.explode(F.array("low", "high")).alias("end")).where("root <> end.root")
+        met = on_key(placed, ends, hot, ["key"]).select("node", "root", F.explode(F.array("low", "high")).alias("end")).where("root <> end.root")
         new = materialize(verify(met.select(F.col("node").alias("a"), F.col("end.node").alias("b"))), "near-links")
         links = new if links is None else links.union(new)
-        roots = components(links)
-        now = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = now.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        placed = materialize(now.join(mixed, "key"), "near-placed")
-    cells = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-    tops = cells.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("n"))
-    tops = tops.select("key", F.col("top.root").alias("main"), F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    among = placed.join(tops, "key")
-    # Of two components in a list one at least isn't the largest: its nodes meet the list's others, block by block.
-    minor = among.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("a"), F.col("root").alias("ra"))
-    other = among.select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("b"), F.col("root").alias("rb"))
-    rest = materialize(minor.join(other, ["key", "block"]).where("ra <> rb").select("a", "b").distinct(), "near-rest")
-    roots = components(links.union(materialize(verify(rest), "near-links")))
+        roots, placed = join_up(links)
+    longs = None
+    for best in (True, False):
+        placed = materialize(placed, "near-placed")
+        if longs is None:
+            new = placed.select("node").distinct().join(sets, "node").select("node", "hashes").mapInArrow(_lengthened, "node long, long binary")
+            longs = materialize(new, "near-long")
+        parts = placed.groupBy("key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+        among = on_key(placed, parts, hot, ["key"]).join(longs, "node")
+        among = among.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        met = among.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("chunk", "o").alias("ca"), F.greatest("chunk", "o").alias("cb"), "chunk", "node", "root", "long")
+        met = met.repartition(partitions_of(docs.sparkSession), "key", "ca", "cb").sortWithinPartitions("key", "ca", "cb")
+        rest = materialize(met.mapInArrow(_across(best), "a long, b long"), "near-rest")
+        links = links.union(materialize(verify(rest, counted=True), "near-links"))
+        roots, placed = join_up(links)
     named = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "near-roots")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -27,14 +27,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize, unit
+from tidemark.llm.shared import HOT, materialize, on_key, unit
 
 SHARDS = 40
 #: Rounds without more agreement before propagation stops.
 PATIENCE = 3
 BUCKET_ROWS = 20_000
-#: Links above such a part of the rows are joined by broadcast.
-HOT = 1000
 
 
 def _by_shard(values: dict[int, int | float], shard: Column, default) -> Column:
@@ -60,17 +58,6 @@ def _claims(placed: DataFrame, quota: int, shards: int) -> tuple[dict[int, list[
     return claims, free
 
 
-def _on_link(rows: DataFrame, table: DataFrame, large: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``table``, which has one row for each of ``keys`` (link, perhaps shard).
-
-    The rows of ``large`` links, each above a ``HOT``th of all rows, meet a broadcast part of the table, of ``HOT`` rows
-    a shard at most; so no link has a task of its own, and a task's other keys have a ``HOT``th of the rows at most.
-    """
-    hot_rows, hot_table = (x.join(F.broadcast(large), "link", "left_semi") for x in (rows, table))
-    other_rows, other_table = (x.join(F.broadcast(large), "link", "left_anti") for x in (rows, table))
-    return hot_rows.join(F.broadcast(hot_table), keys, how).unionByName(other_rows.join(other_table, keys, how))
-
-
 def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """node, shard, tied (0 where linked, else 1): ``nodes`` (node) moved towards their neighbours.
 
@@ -81,7 +68,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     # A link of one document draws nothing.
     shared = materialize(links.groupBy("link").agg(F.count("*").alias("n")).where("n > 1"), "shard-shared")
     hot = materialize(shared.where(F.col("n") * HOT > links.count()).select("link"), "shard-hot")  # fewer than HOT rows
-    tied = materialize(_on_link(links.select("node", "link"), shared.select("link"), hot, ["link"]), "shard-links")
+    tied = materialize(on_key(links.select("node", "link"), shared.select("link"), hot, ["link"]), "shard-links")
     start = F.pmod(F.xxhash64("node", F.lit("start")), F.lit(shards)).cast("int")
     state = nodes.select("node", start.alias("shard"))
     claims, free = _claims(tied.withColumn("shard", start), quota, shards)
@@ -110,7 +97,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
         open_ = cells.where((_by_shard(room, F.col("shard"), 0) > 0))
         lead = open_.groupBy("link").agg(F.max(F.struct("c", F.xxhash64("link", "shard"), "shard")).alias("top")).select("link", F.col("top.shard").alias("to"), F.col("top.c").alias("top_c"))
         wish = cells.join(lead, "link").where("to <> shard").withColumn("gain", F.col("top_c") - F.col("c") + 1)
-        votes = _on_link(placed, wish.select("link", "shard", "to", "gain"), hot, ["link", "shard"])
+        votes = on_key(placed, wish.select("link", "shard", "to", "gain"), hot, ["link", "shard"])
         moves = votes.groupBy("node").agg(F.max_by("to", F.struct("gain", "to")).alias("to"), F.max_by("link", F.struct("gain", "to")).alias("link"), F.max("gain").alias("gain")).where("gain > 0")
         moves = materialize(moves.join(dealt, "node", "left_anti") if claims else moves, "shard-moves")
         demand = {r["to"]: r["count"] for r in moves.groupBy("to").count().collect()}  # a row a shard
@@ -136,7 +123,7 @@ def exact_slots(state: DataFrame, shards: int, bucket_rows: int = BUCKET_ROWS) -
     salt = F.when(F.col("c") > bucket_rows, F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / bucket_rows))).otherwise(0)
     cells = materialize(state.where("tied = 0").groupBy("link", "shard").agg(F.count("*").alias("c")).where(F.col("c") > min(bucket_rows, max(1, total // HOT))), "shard-large")
     hot = cells.where(F.col("c") * HOT > total).select("link").distinct()  # fewer than HOT rows
-    spread = _on_link(state, cells, hot, ["link", "shard"], "left").withColumn("bucket", F.struct("tied", F.pmod(F.xxhash64("link"), F.lit(buckets)).alias("h"), F.coalesce(salt, F.lit(0)).cast("long").alias("salt"))).drop("c")
+    spread = on_key(state, cells, hot, ["link", "shard"], "left").withColumn("bucket", F.struct("tied", F.pmod(F.xxhash64("link"), F.lit(buckets)).alias("h"), F.coalesce(salt, F.lit(0)).cast("long").alias("salt"))).drop("c")
     counts = spread.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("before"))

@@ -83,6 +83,21 @@ def discard(*tables: DataFrame) -> None:
         remove(df.sparkSession, [_paths.pop(df)])
 
 
+#: Keys above such a part of the rows are joined by broadcast.
+HOT = 1000
+
+
+def on_key(rows: DataFrame, table: DataFrame, large: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each of ``keys``; ``large`` names the first key's hot values.
+
+    A hot value has more than a ``HOT``th of all rows, so there are fewer than ``HOT``.  Their rows meet a broadcast part
+    of the table: no value has a task of its own, and a task's other keys have a ``HOT``th of the rows at most.
+    """
+    hot_rows, hot_table = (x.join(F.broadcast(large), keys[0], "left_semi") for x in (rows, table))
+    other_rows, other_table = (x.join(F.broadcast(large), keys[0], "left_anti") for x in (rows, table))
+    return hot_rows.join(F.broadcast(hot_table), keys, how).unionByName(other_rows.join(other_table, keys, how))
+
+
 def trimmed(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
 

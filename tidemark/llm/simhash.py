@@ -139,7 +139,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(prints: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     """a, b: links between distinct fingerprints ``prints`` (fp), enough to connect all that are connected."""
     terms = F.array(*[F.struct(F.lit(i).alias("s"), _key(F.col("fp"), p).alias("k")) for i, p in enumerate(SETS)])
-    postings = prints.select("fp", F.explode(terms).alias("e")).select("e.s", "e.k", "fp")
+    # Prints are few bytes and lists many: the prints are dealt out before they are listed.
+    dealt = prints.select("fp").repartition(partitions_of(prints.sparkSession), "fp")
+    postings = dealt.select("fp", F.explode(terms).alias("e")).select("e.s", "e.k", "fp")
     counts = postings.groupBy("s", "k").agg(F.count("*").alias("n")).where("n > 1")
     posted = postings.join(counts, ["s", "k"])
     parts = F.ceil(F.col("n") / list_rows).cast("int")
