@@ -28,10 +28,12 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import keep
+
 SEGMENTS = 64
 SEGMENT_CHARS = 1_000
 LANGUAGES = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -160,16 +162,13 @@ def collect_samples(train: DataFrame, lang_col: str = "lang", text_col: str = "t
     return {k: " " + " ".join(v) + " " for k, v in texts.items() if any(v)}
 
 
-_parsers: dict[int, Parser] = {}
+def _parser(samples: dict[str, str]) -> Parser:
+    return keep(("language_id", tuple(sorted(samples.items()))), lambda: Parser(samples))
 
 
 def _predict(samples):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tuple(sorted(samples.value.items())))
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = Parser(samples.value)
-        parser = _parsers[key]
+        parser = _parser(samples.value)
         for batch in batches:
             got = [parser.predict(t.as_py()) for t in batch.column(batch.num_columns - 1).cast(pa.binary())]
             names, scores, bits = zip(*got, strict=True) if got else ((), (), ())
@@ -199,11 +198,7 @@ def recognised(docs: DataFrame, **sizes) -> DataFrame:
     schema, text_at = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tuple(sorted(shared.value.items())))
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = Parser(shared.value)
-        parser = _parsers[key]
+        parser = _parser(shared.value)
         for batch in batches:
             keep = [parser.predict(t.as_py())[0] != UNKNOWN for t in batch.column(text_at).cast(pa.binary())]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -7,9 +7,10 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import Any
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -83,6 +84,17 @@ def discard(*tables: DataFrame) -> None:
         remove(df.sparkSession, [_paths.pop(df)])
 
 
+_kept: dict[Hashable, Any] = {}
+
+
+def keep(key: Hashable, build: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one operator's state, the last one's, and no other."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
 #: Keys above such a part of the rows are joined by broadcast.
 HOT = 1000
 

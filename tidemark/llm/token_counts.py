@@ -28,6 +28,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.llm.shared import keep
+
 MAX_NODES = 400_000
 PORTION = 1_000_000
 TIE = 1e-9
@@ -116,9 +118,6 @@ class PrefixCounter:
         return {p: found[p] if p in found else counts[p] for p in distinct}
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def _portions(texts: pa.Array) -> Iterator[list[str]]:
     """Texts of about ``PORTION`` characters at a time."""
     some, size = [], 0
@@ -134,9 +133,8 @@ def _portions(texts: pa.Array) -> Iterator[list[str]]:
 
 def _count(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = PrefixCounter(load_pieces(path))
-        counter, find = _counters[path], regex.compile(pattern).findall
+        counter = keep(("token_counts", path), lambda: PrefixCounter(load_pieces(path)))
+        find = regex.compile(pattern).findall
         for batch in batches:
             n_tokens, n_pre, n_bytes = [], [], []
             for some in _portions(batch.column(1)):

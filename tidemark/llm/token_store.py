@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import partitions_of, work_path
+from tidemark.llm.shared import keep, partitions_of, work_path
 
 BLOCK = 4096
 END_ID = 2
 MAGIC = b"S8B1"
 CHUNK_IDS = 262_144
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _BREAK = b"\xff\xff\xff\xff"
 
 #: Ids and bits per id of a word, by selector.  Fixed values of Simple-8b.
@@ -220,12 +220,9 @@ class WordEncoder:
                     yield b"".join([known[w] if w in known else found[w] for w in words])
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder of a tokenizer file."""
-    return _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
+    return keep(("token_store", path), lambda: WordEncoder(path))
 
 
 def _tokenise(path: str, bounds: list[int], end_id: int):
