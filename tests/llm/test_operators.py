@@ -297,11 +297,12 @@ def test_packing(docs, none):
     want = Counter((i, tuple([*t.encode(x or "", add_special_tokens=False).ids, 2])) for i, x, *_ in rows())
     parts = {}
     for r in got:
-        assert r["n_tokens"] == len(r["ids"]) == sum(r["lengths"]) <= r["capacity"] and r["capacity"] in packing.LENGTHS
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert r["n_tokens"] == len(ids) == sum(r["lengths"]) <= r["capacity"] and r["capacity"] in packing.LENGTHS
         assert not any(r["n_tokens"] <= x < r["capacity"] for x in packing.LENGTHS)
         at = 0
         for i, k, s, n in zip(r["doc_ids"], r["pieces"], r["starts"], r["lengths"], strict=True):
-            parts.setdefault(i, []).append((k, s, tuple(r["ids"][at : at + n])))
+            parts.setdefault(i, []).append((k, s, tuple(ids[at : at + n])))
             at += n
     for i in {r[0] for r in rows()}:  # the pieces are the documents' ids, whole and in order
         mine = [x for (j, x), c in want.items() if j == i for _ in range(c)]

@@ -46,10 +46,11 @@ def test_stages(spark, docs, tmp_path):
     want = Counter((r["doc_id"], *t.encode(r["text"], add_special_tokens=False).ids, 2) for r in seen["mixing"].collect())
     parts = {}
     for r in seen["packing"].collect():
-        assert r["n_tokens"] == len(r["ids"]) <= r["capacity"] and r["capacity"] in LENGTHS
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert r["n_tokens"] == len(ids) <= r["capacity"] and r["capacity"] in LENGTHS
         at = 0
         for i, s, n in zip(r["doc_ids"], r["starts"], r["lengths"], strict=True):
-            parts.setdefault(i, []).append((s, tuple(r["ids"][at : at + n])))
+            parts.setdefault(i, []).append((s, tuple(ids[at : at + n])))
             at += n
     for i, mine in parts.items():  # every copy of a document is there, whole
         texts = [x[1:] for x, c in want.items() if x[0] == i for _ in range(c)]

@@ -146,12 +146,13 @@ def _sequences(lengths: tuple[int, ...]):
             offsets = pa.array((cut - a).astype(np.int32))
             ids = [texts[i][s : s + n] for i, s, n in zip(at["item"][a:b].tolist(), at["start"][a:b].tolist(), at["length"][a:b].tolist(), strict=True)]
             used = np.add.reduceat(at["length"][a:b], cut[:-1] - a)
-            tokens = pa.array(np.concatenate([[0], np.cumsum(used)]).astype(np.int32))
+            whole = np.concatenate(ids).astype("<u4")
+            tokens = [whole[b - n : b].tobytes() for b, n in zip(np.cumsum(used).tolist(), used.tolist(), strict=True)]
             lists = [pa.ListArray.from_arrays(offsets, x) for x in (doc_ids.slice(a, b - a), *(pa.array(at[c][a:b].astype(np.int32)) for c in ("piece", "start", "length")))]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(group + at["bin"][cut[:-1]]), pa.array(at["capacity"][cut[:-1]].astype(np.int32)), pa.array(used.astype(np.int32)),
-                    *lists, pa.ListArray.from_arrays(tokens, pa.array(np.concatenate(ids).astype(np.int32))),
+                    *lists, pa.array(tokens, pa.binary()),
                 ],
                 ["bin_id", "capacity", "n_tokens", "doc_ids", "pieces", "starts", "lengths", "ids"],
             )
@@ -160,13 +161,13 @@ def _sequences(lengths: tuple[int, ...]):
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", lengths: tuple[int, ...] = LENGTHS, end_id: int = END_ID, group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Training sequences: bin_id, capacity, n_tokens, doc_ids, pieces, starts, lengths, ids."""
+    """Training sequences: bin_id, capacity, n_tokens, doc_ids, pieces, starts, lengths, ids (little-endian unsigned 32-bit)."""
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(docs[text_col])), F.lit(0))).first()
     groups = max(1, -(-n // group_rows), -(-size // group_bytes))
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
     coded = materialize(picked.mapInArrow(_encode(tokenizer_path, end_id), f"doc_id {kind}, ids binary"), "pack-ids")
-    return coded.repartition(groups).mapInArrow(_sequences(tuple(lengths)), f"bin_id long, capacity int, n_tokens int, doc_ids array<{kind}>, pieces array<int>, starts array<int>, lengths array<int>, ids array<int>")
+    return coded.repartition(groups).mapInArrow(_sequences(tuple(lengths)), f"bin_id long, capacity int, n_tokens int, doc_ids array<{kind}>, pieces array<int>, starts array<int>, lengths array<int>, ids binary")
 
 
 def pieces(sequences: DataFrame) -> DataFrame:
