@@ -118,7 +118,7 @@ def _encode(path: str, end_id: int):
         encode = encoder(path)
         for batch in batches:
             ids, held, first = [], 0, 0
-            for i, raw in enumerate(encode.ids(batch.column(1).cast(pa.binary()).to_pylist())):
+            for i, raw in enumerate(encode.ids(batch.column(1))):
                 ids.append(np.append(np.frombuffer(raw, "<u4"), end_id).astype("<u2").tobytes())
                 held += len(ids[-1])
                 if held > 16_000_000 or i + 1 == batch.num_rows:

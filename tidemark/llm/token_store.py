@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,7 @@ END_ID = 2
 MAGIC = b"S8B1"
 CHUNK_IDS = 262_144
 CACHE_WORDS = 250_000
+STEP_BYTES = 16_000_000
 _BREAK = b"\xff\xff\xff\xff"
 
 #: Ids and bits per id of a word, by selector.  Fixed values of Simple-8b.
@@ -204,20 +206,46 @@ class WordEncoder:
             out[w] = np.array(self.whole.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
-    def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        for at in range(0, len(texts), 64):
-            split = [(t or b"").split() for t in texts[at : at + 64]]
-            known = self.known
-            new = set().union(*split).difference(known)
-            found = self._encode(list(new)) if new else {}
-            if len(known) + len(found) <= CACHE_WORDS:
-                known.update(found)
-                for words in split:
-                    yield b"".join(map(known.__getitem__, words))
-            else:
-                for words in split:
-                    yield b"".join([known[w] if w in known else found[w] for w in words])
+    def ids(self, texts: pa.Array | list[bytes | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        Some megabytes of texts at a time are split into numbered words; each distinct word's ids are looked up or found
+        once, and the texts are put together from them by numbers alone.
+        """
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.binary())
+        column = column.cast(pa.string()).fill_null("")
+        sizes = np.cumsum(pc.binary_length(column).to_numpy())
+        first = 0
+        while first < len(column):
+            before = int(sizes[first - 1]) if first else 0
+            upto = max(first + 1, int(np.searchsorted(sizes, before + STEP_BYTES, side="right")))
+            split = pc.ascii_split_whitespace(column.slice(first, upto - first))
+            coded = split.flatten().dictionary_encode()
+            found = self._lookup(coded.dictionary.cast(pa.binary()).to_pylist())
+            number = coded.indices.to_numpy()
+            lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            places = np.cumsum(lengths) - lengths
+            each = lengths[number]
+            ends = np.concatenate([[0], np.cumsum(each)])
+            words = split.offsets.to_numpy() - split.offsets[0].as_py()
+            pool = np.frombuffer(b"".join(found), "<u4")
+            out = pool[np.repeat(places[number] - ends[:-1], each) + np.arange(ends[-1])]
+            cuts = ends[words].tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield out[a:b].tobytes()
+            first = upto
+
+    def _lookup(self, distinct: list[bytes]) -> list[bytes]:
+        """The ids of distinct words; the empty word, which stands at a text's ends, has none."""
+        known = self.known
+        found = [known.get(w) for w in distinct]
+        new = [w for w, x in zip(distinct, found, strict=True) if x is None and w]
+        if new:
+            more = self._encode(new)
+            if len(known) + len(more) <= CACHE_WORDS:
+                known.update(more)
+            found = [more.get(w, b"") if x is None else x for w, x in zip(distinct, found, strict=True)]
+        return [x or b"" for x in found]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -232,7 +260,7 @@ def _tokenise(path: str, bounds: list[int], end_id: int):
         encode = encoder(path).ids
         cuts = np.array(bounds, np.int64)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             shard = np.searchsorted(cuts, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")
             coded, held, first = [], 0, 0
             for i, t in enumerate(encode(texts)):
