@@ -165,19 +165,82 @@ def test_scoring(docs, none):
     assert scoring.score(none).count() == 0
 
 
-def test_spelling_is_a_distribution():
-    """The bits of a byte split all probability: all continuations of a prefix sum to one."""
-    model = scoring.Model([])
-    model.open()
-    model.tables[1][:, 1] = np.arange(len(model.tables[1])) % 40  # any counts
-    p = 10 ** model.log10([b"ab" + bytes([x]) for x in range(256) if x != 32])
-    closing = lambda t: model.log10([t])[0]
-    q = 10 ** (closing(b"ab") - 0.0)
-    assert 0 < p.sum() + q < 1
+def test_codes_are_a_distribution():
+    """All bytes that can follow a prefix, the end among them, share its probability: they sum to one."""
+    model = scoring.Model([]).open()
+    for k, table in enumerate(model.tables):
+        table[:] = np.arange(table.size).reshape(table.shape) % (41 + k)  # any counts
+    rng = np.random.default_rng(2)
+    model.weights, model.map = rng.normal(0.2, 0.1, model.weights.shape), np.sort(rng.uniform(0.01, 0.99, model.map.shape))
+
+    def chance(texts):
+        flat, total = model.coded([(t, 0, i) for i, t in enumerate(texts)])
+        return 10 ** np.add.reduceat(total[flat.edge], flat.starts)
+
+    for prefix in (b"a", b"ab", b"some words and", b"two words "):
+        assert chance([prefix + bytes([x]) for x in range(256)]).sum() == pytest.approx(chance([prefix])[0], rel=1e-6)
+    assert chance([bytes([x]) for x in range(256)]).sum() == pytest.approx(1, abs=1e-6)
     flat = scoring.Flat([b"ab", b"abc"])
     assert len(flat.bytes) == 5 and list(flat.times).count(2) == 2  # a, b shared; their ends not
 
 
+def slow_contexts(raw, at):
+    """What each predictor knows of the byte at a place: the last k bytes, the word so far, and the word before too."""
+    start = at
+    while start and raw[start - 1] not in b" \t\n\x0b\x0c\r":
+        start -= 1
+    last = start - 1
+    while last > 0 and raw[last - 1] not in b" \t\n\x0b\x0c\r":
+        last -= 1
+    before = raw[last : start - 1].lower() if start else b""
+    return [(k, *(raw[at - j] if at >= j else 0 for j in range(1, k + 1))) for k in scoring.ORDERS] + [("w", raw[start:at].lower()), ("v", raw[start:at].lower(), before)]
+
+
+def test_scoring_is_the_slow_one(spark):
+    """Tables, gates, weights and map against a coder that counts in dictionaries and goes bit by bit."""
+    train = [b"the cat sat on the mat", b"The dog and the cat", b"on a mat\tsat", b"", "été à la mer".encode(), b"the cat sat on the mat"]
+    sizes = (22,) * 8  # so large that no two contexts of these texts share a slot
+    df = spark.createDataFrame([(bytearray(t),) for t in train], "text binary").repartition(2)
+    tally = df.mapInArrow(scoring._tally(sizes), "predictor int, slice int, keys binary, totals binary")
+    tables = tally.repartition(3, "predictor", "slice").sortWithinPartitions("predictor", "slice").mapInArrow(scoring._merge(sizes), "predictor int, slice int, steps binary").collect()
+    model = scoring.Model([(r["predictor"], r["slice"], bytes(r["steps"])) for r in tables], sizes)
+    model.fit(train)
+    assert np.abs(model.weights - 0.2).max() > 0.01  # it has learned
+
+    counts = Counter()
+    for text in train:
+        raw = text + scoring.END
+        for at, byte in enumerate(raw):
+            for p, c in enumerate(slow_contexts(raw, at)):
+                for b in range(8):
+                    counts[p, c, byte >> (8 - b), b, byte >> (7 - b) & 1] += 1
+    step = lambda n: min(255, round(6 * math.log2(1 + n)))
+
+    def slow(text):
+        raw, total = text + scoring.END, 0.0
+        for at, byte in enumerate(raw):
+            for b in range(8):
+                odds, seen = [], []
+                for p, c in enumerate(slow_contexts(raw, at)):
+                    n0, n1 = (2 ** (step(counts[p, c, byte >> (8 - b), b, y]) / 6) - 1 for y in (0, 1))
+                    odds.append(math.log((n1 + 0.4) / (n0 + 0.4)))
+                    seen.append(n0 + n1)
+                gate = 0
+                for p in sorted(scoring.GATED):
+                    gate = gate * 5 + sum(seen[p] > g for g in scoring.GATES)
+                z = max(-16, min(16, sum(w * o for w, o in zip(model.weights[gate], odds, strict=True))))
+                mixed = 1 / (1 + math.exp(-z))
+                x = max(0, min(scoring.MAP_SIZE - 1.001, z * 1.5 + (scoring.MAP_SIZE - 1) / 2))
+                low = int(x)
+                refined = model.map[gate, low] * (1 - x + low) + model.map[gate, low + 1] * (x - low)
+                p1 = max(1e-7, min(1 - 1e-7, 0.75 * mixed + 0.25 * refined))
+                total += math.log10(p1 if byte >> (7 - b) & 1 else 1 - p1)
+        return total
+
+    texts = [b"the cat sat", b"a new dog on the mat", b"", "la mer été".encode(), b"THE  cat\nsat"]
+    assert model.log10(texts) == pytest.approx([slow(t) for t in texts], rel=1e-9)
+
+
 def test_scoring_learns(spark):
     """Words of two languages, many unseen: the mixture and the spelling beat the smoothed counts on held-out texts."""
     rng = np.random.default_rng(0)
