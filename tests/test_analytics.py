@@ -89,6 +89,36 @@ def test_fit_recovers_truth(spark):
         assert (r["kappa"], r["lambda_0"]) == pytest.approx((k, lam), rel=1e-4)
 
 
+def test_fit_errors(spark):
+    """The slope's p-value against simulation-free values of Student's t; kappa's error against a finite difference."""
+    # Two-sided tails that are known in closed form: df 1 is Cauchy's law, df 2 is 1 - t / sqrt(t^2 + 2).
+    rows = spark.range(1).select(kappa.t_two_sided(F.lit(-1.7), F.lit(1)), kappa.t_two_sided(F.lit(1.7), F.lit(2)), kappa.t_two_sided(F.lit(2.228139), F.lit(10)), kappa.t_two_sided(F.lit(2.109816), F.lit(17)), kappa.t_two_sided(F.lit(0.0), F.lit(5))).first()
+    assert list(rows) == pytest.approx([1 - 2 / math.pi * math.atan(1.7), 1 - 1.7 / math.sqrt(1.7**2 + 2), 0.05, 0.05, 1.0], abs=1e-6)
+    x = np.array([0.1, 0.3, 0.5, 0.7, 0.9])
+    y = 2.0 * np.exp(-3 * x) * np.array([1.02, 0.97, 1.01, 1.04, 0.95])
+    hist = spark.createDataFrame([("A", "buy", i, float(a), 10, float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "symbol string, side string, bin int, center double, count long, intensity double")
+    f = kappa.fit_nonlinear(hist).first()
+    model = lambda a, k: a * np.exp(-k * x)
+    e = 1e-6
+    j = np.stack([(model(f["lambda_0"] + e, f["kappa"]) - model(f["lambda_0"] - e, f["kappa"])) / (2 * e), (model(f["lambda_0"], f["kappa"] + e) - model(f["lambda_0"], f["kappa"] - e)) / (2 * e)], axis=1)
+    cov = np.linalg.inv(j.T @ j) * ((y - model(f["lambda_0"], f["kappa"])) ** 2).sum() / 3
+    assert f["std_error"] == pytest.approx(math.sqrt(cov[1, 1]), rel=1e-4)
+    o = kappa.fit_ols(hist).first()
+    assert 0 < o["p_value"] < 0.001 and o["n_points"] == 5
+    few = kappa.fit_ols(hist.limit(2)).first()
+    assert (few["kappa"], few["p_value"], few["n_points"]) == (None, None, 0) and kappa.fit(hist.limit(2)).first()["n_points"] == 0
+
+
+def test_impact_plots(spark):
+    rows = [("A", "buy", i, v, float(i)) for i, v in enumerate([0.0, 0.1, 0.1, 0.2, 1.0])] + [("A", "sell", 9, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, side string, trade_id long, impact double, size double")
+    got = impact.impact_histogram(df, 5).orderBy("side", "bin").collect()
+    assert [r["count"] for r in got] == [3, 1, 0, 0, 1, 0, 0, 1, 0, 0] and (got[0]["low"], got[4]["high"], got[5]["low"]) == (0.0, 1.0, 1.5)
+    line = impact.size_impact(df).first()
+    z = np.polyfit(np.sqrt(np.arange(5.0)), [0.0, 0.1, 0.1, 0.2, 1.0], 1)
+    assert (line["slope"], line["intercept"], line["n"]) == (pytest.approx(z[0]), pytest.approx(z[1]), 5)
+
+
 def test_trimmed_impacts(spark):
     rows = [("A", "buy", i, 0.01 * (i + 1)) for i in range(19)] + [("A", "buy", 19, 5.0)]
     e = impact.estimates(spark.createDataFrame(rows, "symbol string, side string, trade_id long, impact double"))
@@ -174,6 +204,7 @@ def test_ladder_and_bot_quotes(spark):
     rows = {(x["symbol"], x["q"]): x for x in got.collect()}
     assert rows["ETH", 9]["q_used"] == 3 and rows["ETH", 9]["entry_price"] == pytest.approx(3000 - 0.19985 - 0.9, abs=1e-4)
     assert rows["ETH", 0]["exit_price"] is None
+    # A symbol without a grid: null, the proposed rate, the current order's rate.
     x = rows["X", 0]
     assert (x["entry_price"], x["exit_price"], x["adjust_price"], x["bid_bps"]) == (None, 1.0, 2.0, None)
     assert math.isnan(spark.range(1).select(quotes.spread_bps(F.lit(1.0), F.lit(0.0))).first()[0])
@@ -226,12 +257,21 @@ def test_series(spark):
 
 def test_simulation(spark):
     grid = control.surface(eth(spark), 10.0, 20).cache()
-    market = {"s0": 100.0, "sigma": 0.1, "lambda_p": 5.0, "lambda_m": 5.0, "kappa_p": 5.0, "kappa_m": 5.0, "epsilon_p": 0.01, "epsilon_m": 0.01}
-    a = simulate.paths(grid, 5, 10.0, 20, market, 3).orderBy("path_id", "n").toPandas()
-    b = simulate.paths(grid, 5, 10.0, 20, market, 3).orderBy("path_id", "n").toPandas()
+    market = spark.createDataFrame([("ETH", 100.0, 0.1, 5.0, 5.0, 5.0, 5.0, 0.01, 0.01)], "symbol string, " + ", ".join(f"{c} double" for c in simulate.MARKET))
+    a = simulate.paths(grid, market, 5, 10.0, 20, 3).orderBy("path_id", "n").toPandas()
+    b = simulate.paths(grid, market, 5, 10.0, 20, 3).orderBy("path_id", "n").toPandas()
     assert a.equals(b) and len(a) == 105 and np.allclose(a.pnl, a.x + a.q * a.s)
     last = a[a.n == 20].set_index("path_id").q
     assert (last == (a.groupby("path_id").fills_m.sum() - a.groupby("path_id").fills_p.sum())).all()
+    assert a.fills_p.sum() and a.fills_m.sum() and a[a.n == 0].s.eq(100.0).all()
+    drawn = spark.range(20_000).select(simulate.poisson(F.lit(3.5), simulate.uniform(1, F.col("id"))).alias("k"), simulate.normal(2, F.col("id")).alias("z"))
+    m = drawn.agg(F.avg("k"), F.variance("k"), F.avg("z"), F.stddev("z"), F.min("k")).first()
+    assert np.allclose(m, (3.5, 3.5, 0.0, 1.0, 0), atol=0.1)
+    lines = series.dashboard(simulate.paths(grid, market, 2, 10.0, 20, 3), 10.0, 20).toPandas()
+    assert len(lines) == 42 and lines.t.max() == 10.0 and (lines.groupby("path_id").sold.max() == a[a.path_id < 2].groupby("path_id").fills_p.sum()).all()
+    shown = series.surface_samples(grid, 10.0, 20, 5)
+    assert shown.select("sample_t").distinct().count() == 5 and shown.where("q = -3 and delta_plus is null").count() == 5
+    assert {r["q"] for r in series.depth_lines(grid, -3, 3).select("q").distinct().collect()} == {-3, -2, 0, 1, 3}
     fit = simulate.calibrate(simulate.observations(spark, 50.0, 60.0, 0.02, 1), simulate.jumps(spark, 0.005, 0.02, 3)).first()
     assert fit["kappa"] == pytest.approx(60, rel=0.1) and fit["lambda"] == pytest.approx(50, rel=0.1) and fit["epsilon"] == pytest.approx(0.005, rel=0.4)
     p = spark.range(1).select(simulate.fill_probability(F.lit(-1.0), F.lit(2.0)), simulate.fill_probability(F.lit(1.0), F.lit(2.0))).first()

@@ -1,7 +1,7 @@
 """Optimal depths on an inventory grid.
 
-One-side optimum and the symmetric problem are column expressions (array folds); the asymmetric problem and the full
-(t, q) surface are small dense solves, many symbols at once or one a group.
+One-side optimum, the symmetric problem and its full (t, q) surface are column expressions (array folds inside one row,
+no shuffle); the asymmetric problem is a small dense solve, many symbols at once.
 """
 
 from __future__ import annotations
@@ -10,9 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import let
+
 FLOOR = 1e-300
 SURFACE = "symbol string, q int, h double, delta_plus double, delta_minus double, method string"
 
@@ -28,15 +30,9 @@ def one_side(lam: Column, kappa: Column, eps: Column, dh: Column, clip: bool = F
     return F.when(touch, 0.0).otherwise(depth), F.when(touch, F.greatest(lam * (dh - eps), F.lit(0.0))).otherwise(value)
 
 
-def symmetric(params: DataFrame, horizon: float = 60.0, q_max: int = 3, alpha: float = 0.0, phi: float = 0.0, terms: int = 60, span: float = 10.0) -> DataFrame:
-    """symbol, q, h, delta_plus, delta_minus: the linear system for one kappa, the mean of both sides.
-
-    exp(A T) z is summed by uniformisation: with c at least the largest diagonal magnitude, A + c I has no negative
-    entry, so every term of its series adds.  Time is cut so that a cut's series needs ``terms`` terms at most, and
-    the vector is rescaled after each cut; h only needs ratios.
-    """
-    d = 2 * q_max + 1
-    qs = [i - q_max for i in range(d)]
+def _system(params: DataFrame, qs: list[int], phi: float, horizon: float, span: float) -> DataFrame:
+    """The linear system's coefficients: k, down, up, diag (all of it shifted by c, so that none is negative), and cuts,
+    the parts of ``horizon`` over which c and the coefficients integrate to ``span`` at most."""
     k = F.greatest(F.lit(1e-8), (F.col("kappa_p") + F.col("kappa_m")) / 2)
     base = params.select(
         "symbol", "epsilon_p", "epsilon_m", k.alias("k"),
@@ -44,46 +40,48 @@ def symmetric(params: DataFrame, horizon: float = 60.0, q_max: int = 3, alpha: f
         (F.col("lambda_m") * F.exp(-1 - k * F.col("epsilon_m"))).alias("up"),
         (k * (F.col("lambda_p") * F.col("epsilon_p") - F.col("lambda_m") * F.col("epsilon_m"))).alias("drift"),
     ).where("k is not null and down is not null and up is not null and drift is not null")
+    far = max(abs(q) for q in qs)
     diagonal = F.array(*[q * F.col("drift") - phi * F.col("k") * (q * q) for q in qs])
-    shift = q_max * F.abs(F.col("drift")) + phi * F.col("k") * (q_max * q_max)
-    base = base.withColumn("c", shift).withColumn("diag", F.transform(diagonal, lambda x: x + F.col("c")))
+    base = base.withColumn("c", far * F.abs(F.col("drift")) + phi * F.col("k") * (far * far)).withColumn("diag", F.transform(diagonal, lambda x: x + F.col("c")))
     base = base.withColumn("cuts", F.greatest(F.lit(1), F.ceil((2 * F.col("c") + F.col("down") + F.col("up")) * horizon / span)).cast("int"))
     base = base.withColumn("step", F.lit(float(horizon)) / F.col("cuts"))
-    start = F.array(*[F.exp(-alpha * F.col("k") * (q * q)) for q in qs])
+    reach = (2 * F.col("c") + F.col("down") + F.col("up")) * F.col("step")
+    # Terms fall like a Poisson law's: eight deviations leave less than a double's precision.
+    return base.withColumn("terms", F.ceil(reach + 8 * F.sqrt(reach) + 12).cast("int"))
+
+
+def _series(v: Column) -> Column:
+    """exp((A + c I) step) v, by its series, in which every term adds."""
     zero = F.lit(0.0)
 
-    def apply(v: Column) -> Column:
-        return F.transform(v, lambda x, i: F.get("diag", i) * x + F.col("down") * F.coalesce(F.get(v, i - 1), zero) + F.col("up") * F.coalesce(F.get(v, i + 1), zero))
+    def add(acc: Column, n: Column) -> Column:
+        t = acc["term"]
+        term = F.transform(t, lambda x, i: (F.get("diag", i) * x + F.col("down") * F.coalesce(F.get(t, i - 1), zero) + F.col("up") * F.coalesce(F.get(t, i + 1), zero)) * F.col("step") / n)
+        return let(term, lambda t: F.struct(t.alias("term"), F.zip_with(acc["sum"], t, lambda a, b: a + b).alias("sum")))
 
-    def series(v: Column) -> Column:
-        first = F.struct(v.alias("term"), v.alias("sum"))
+    return F.aggregate(F.sequence(F.lit(1), F.col("terms")), F.struct(v.alias("term"), v.alias("sum")), add)["sum"]
 
-        def add(acc: Column, n: Column) -> Column:
-            term = F.transform(apply(acc["term"]), lambda x: x * F.col("step") / n)
-            return F.struct(term.alias("term"), F.zip_with(acc["sum"], term, lambda a, b: a + b).alias("sum"))
 
-        summed = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), first, add)["sum"]
-        return summed
+def symmetric(params: DataFrame, horizon: float = 60.0, q_max: int = 3, alpha: float = 0.0, phi: float = 0.0, span: float = 10.0) -> DataFrame:
+    """symbol, q, h, delta_plus, delta_minus: the linear system for one kappa, the mean of both sides.
+
+    exp(A T) z is summed by uniformisation: with c at least the largest diagonal magnitude, A + c I has no negative
+    entry, so every term of its series adds.  Time is cut so that a cut's series stays short, and the vector is
+    rescaled after each cut; h only needs ratios.
+    """
+    qs = list(range(-q_max, q_max + 1))
+    base = _system(params, qs, phi, horizon, span)
+    start = F.array(*[F.exp(-alpha * F.col("k") * (q * q)) for q in qs])
 
     def cut(v: Column, _: Column) -> Column:
-        out = series(v)
-        return F.transform(out, lambda x: x / F.array_max(out))
+        return let(_series(v), lambda out: let(F.array_max(out), lambda top: F.transform(out, lambda x: x / top)))
 
     solved = base.withColumn("w", F.aggregate(F.sequence(F.lit(1), F.col("cuts")), start, cut))
     logs = F.transform("w", lambda x: F.ln(F.greatest(x, F.lit(FLOOR))) / F.col("k"))
-    rows = solved.select("symbol", "k", "epsilon_p", "epsilon_m", F.posexplode(logs).alias("i", "log"))
-    top = F.max("log").over(Window.partitionBy("symbol"))
-    grid = rows.select("symbol", "k", "epsilon_p", "epsilon_m", (F.col("i") - q_max).alias("q"), (F.col("log") - top).alias("h"))
-    return depths(grid).withColumn("method", F.lit("symmetric"))
-
-
-def depths(grid: DataFrame) -> DataFrame:
-    """delta_plus and delta_minus from h on the grid; at the bounds the missing neighbour is the point itself."""
-    by_q = Window.partitionBy("symbol").orderBy("q")
-    lower, upper = F.lag("h", 1).over(by_q), F.lead("h", 1).over(by_q)
-    plus = 1 / F.col("k") + F.col("epsilon_p") - (F.coalesce(lower, F.col("h")) - F.col("h"))
-    minus = 1 / F.col("k") + F.col("epsilon_m") - (F.coalesce(upper, F.col("h")) - F.col("h"))
-    return grid.select("symbol", "q", "h", plus.alias("delta_plus"), minus.alias("delta_minus"))
+    rows = solved.withColumn("top", F.array_max(logs)).select("symbol", "epsilon_p", "epsilon_m", "k", "top", F.posexplode(F.transform(logs, lambda x, i: F.struct(x.alias("x"), F.get(logs, i - 1).alias("below"), F.get(logs, i + 1).alias("above")))).alias("i", "l"))
+    plus = 1 / F.col("k") + F.col("epsilon_p") - (F.coalesce("l.below", "l.x") - F.col("l.x"))
+    minus = 1 / F.col("k") + F.col("epsilon_m") - (F.coalesce("l.above", "l.x") - F.col("l.x"))
+    return rows.select("symbol", (F.col("i") - q_max).alias("q"), (F.col("l.x") - F.col("top")).alias("h"), plus.alias("delta_plus"), minus.alias("delta_minus"), F.lit("symmetric").alias("method"))
 
 
 def _neighbours(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,27 +177,33 @@ def asymmetric(params: DataFrame, q_max: int = 3, boundary: str = "clamp", **opt
     return filled.mapInPandas(run, SURFACE)
 
 
-def surface(params: DataFrame, horizon: float = 30.0, steps: int = 200, q_min: int = -3, q_max: int = 3, alpha: float = 0.0, phi: float = 0.0, floor: float = 1e-16) -> DataFrame:
-    """symbol, n, t, q, h, delta_plus, delta_minus on the whole time grid; depths are infinite at the bounds."""
-    q = np.arange(q_min, q_max + 1)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        kappa = (r.kappa_p + r.kappa_m) / 2
-        a = np.diag(q * kappa * (r.lambda_p * r.epsilon_p - r.lambda_m * r.epsilon_m) - phi * kappa * q**2).astype(float)
-        a += np.diag(np.full(len(q) - 1, r.lambda_m * np.exp(-1 - kappa * r.epsilon_m)), 1)
-        a += np.diag(np.full(len(q) - 1, r.lambda_p * np.exp(-1 - kappa * r.epsilon_p)), -1)
-        values, vectors = np.linalg.eig(a)
-        weights = np.linalg.solve(vectors, np.exp(-alpha * kappa * q**2))
-        t = np.linspace(0, horizon, steps + 1)
-        theta = values.real[None, :] * (horizon - t)[:, None]
-        m = theta.max(axis=1, keepdims=True)
-        omega = ((np.exp(theta - m) * weights) @ vectors.T).real
-        h = (np.log(np.maximum(omega, floor)) + m) / kappa
-        plus = 1 / kappa + r.epsilon_p - (np.concatenate([h[:, :1], h[:, :-1]], axis=1) - h)
-        minus = 1 / kappa + r.epsilon_m - (np.concatenate([h[:, 1:], h[:, -1:]], axis=1) - h)
-        plus[:, 0], minus[:, -1] = np.inf, np.inf
-        n = len(q)
-        return pd.DataFrame({"symbol": r.symbol, "n": np.repeat(np.arange(steps + 1), n), "t": np.repeat(t, n), "q": np.tile(q, steps + 1), "h": h.ravel(), "delta_plus": plus.ravel(), "delta_minus": minus.ravel()})
-
-    return params.select("symbol", "kappa_p", "kappa_m", "lambda_p", "lambda_m", "epsilon_p", "epsilon_m").na.drop().groupBy("symbol").applyInPandas(one, "symbol string, n int, t double, q int, h double, delta_plus double, delta_minus double")
+def surface(params: DataFrame, horizon: float = 30.0, steps: int = 200, q_min: int = -3, q_max: int = 3, alpha: float = 0.0, phi: float = 0.0, floor: float = 1e-16, span: float = 10.0) -> DataFrame:
+    """symbol, n, t, q, h, delta_plus, delta_minus on the whole time grid; depths are infinite at the bounds.
+
+    One fold goes from the horizon back, a time step at a time, by the series above.  The vector is rescaled to maximum
+    1 and its scale's logarithm carried beside it, so h is absolute; entries below ``floor`` of the maximum count as it.
+    """
+    qs, n_q = list(range(q_min, q_max + 1)), q_max - q_min + 1
+    known = params.na.drop(subset=["kappa_p", "kappa_m", "lambda_p", "lambda_m", "epsilon_p", "epsilon_m"])
+    # Few rows with much to compute: a task for each, as far as there are tasks.
+    base = _system(known.repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol"), qs, phi, horizon / steps, span)
+
+    def scaled(v: Column, log: Column) -> Column:
+        return let(v, lambda v: let(F.array_max(v), lambda top: F.struct(F.transform(v, lambda x: x / top).alias("v"), (log + F.ln(top)).alias("log"))))
+
+    def cut(acc: Column, _: Column) -> Column:
+        return scaled(_series(acc["v"]), acc["log"] - F.col("c") * F.col("step"))
+
+    def back(acc: Column, _: Column) -> Column:
+        now = F.aggregate(F.sequence(F.lit(1), F.col("cuts")), F.get(acc, F.size(acc) - 1), cut)
+        return F.concat(acc, F.array(now))
+
+    start = scaled(F.array(*[F.exp(-alpha * F.col("k") * (q * q)) for q in qs]), F.lit(0.0))
+    solved = base.withColumn("w", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array(start), back))
+    each = solved.select("symbol", "k", "epsilon_p", "epsilon_m", F.posexplode("w").alias("left", "w")).withColumn("n", F.lit(steps) - F.col("left"))
+    each = each.withColumn("h", F.transform("w.v", lambda x: (F.ln(F.greatest(x, F.lit(floor))) + F.col("w.log")) / F.col("k")))
+    rows = each.select("symbol", "k", "epsilon_p", "epsilon_m", "n", F.col("h").alias("all"), F.posexplode("h").alias("i", "h"))
+    infinite = F.lit(float("inf"))
+    plus = F.when(F.col("i") == 0, infinite).otherwise(1 / F.col("k") + F.col("epsilon_p") - (F.get("all", F.col("i") - 1) - F.col("h")))
+    minus = F.when(F.col("i") == n_q - 1, infinite).otherwise(1 / F.col("k") + F.col("epsilon_m") - (F.get("all", F.col("i") + 1) - F.col("h")))
+    return rows.select("symbol", F.col("n").cast("int").alias("n"), (F.col("n") * (horizon / steps)).alias("t"), (F.col("i") + q_min).alias("q"), "h", plus.alias("delta_plus"), minus.alias("delta_minus"))

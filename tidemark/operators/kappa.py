@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof
@@ -27,10 +29,10 @@ def trade_depths(trades: DataFrame, quotes: DataFrame, lag_us: int = LAG_US) ->
 
 def trimmed_depths(depths: DataFrame, least: int = 10) -> DataFrame:
     """Depths up to the 99th percentile (linear interpolation); sides left with fewer than ``least`` have none."""
-    cut = depths.groupBy(*KEY).agg(F.percentile("depth", F.lit(0.99)).alias("cut"))
-    kept = depths.join(cut, KEY).where("depth <= cut")
-    enough = kept.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("depth").alias("top")).where(F.col("n") >= least)
-    return kept.select(*KEY, "depth").join(enough.select(*KEY, "top"), KEY)
+    side = Window.partitionBy(*KEY)  # one shuffle, which the counts by bin use again; the depths are computed once
+    kept = depths.withColumn("cut", F.percentile("depth", F.lit(0.99)).over(side)).where("depth <= cut")
+    sized = kept.withColumns({"n": F.count("*").over(side), "top": F.max("depth").over(side)})
+    return sized.where(F.col("n") >= least).select(*KEY, "depth", "top")
 
 
 def histogram(depths: DataFrame, bins: int = 20, seconds: float = 1800.0) -> DataFrame:
@@ -53,7 +55,7 @@ def histogram(depths: DataFrame, bins: int = 20, seconds: float = 1800.0) -> Dat
 def fit(hist: DataFrame) -> DataFrame:
     """Weighted least squares of ln(intensity) on depth, weights the counts: lambda_0, kappa, r2, n_points.
 
-    At least three non-empty bins, else nulls.  kappa is not below 0; lambda_0 keeps the unclamped fit's intercept.
+    At least three non-empty bins, else nulls and no points.  kappa is not below 0; lambda_0 keeps the unclamped fit's intercept.
     """
     point = F.struct(F.col("center").alias("x"), F.col("count").cast("double").alias("w"), F.ln(F.when(F.col("count") > 0, F.col("intensity"))).alias("y"))
     # A side's points are as many as bins: residuals need no second pass over the data.
@@ -69,16 +71,38 @@ def fit(hist: DataFrame) -> DataFrame:
     square = lambda z: z * z
     rest = line.withColumns({"res": total(lambda w, x, y: w * square(y - F.col("a") - F.col("b") * x)), "tot": total(lambda w, x, y: w * square(y - F.col("ym")))})
     r2 = F.when(F.col("tot") > 0, 1 - F.col("res") / F.when(F.col("tot") > 0, F.col("tot")))
-    return rest.select(*KEY, F.exp("a").alias("lambda_0"), F.greatest(-F.col("b"), F.when(F.col("b").isNotNull(), 0.0)).alias("kappa"), F.when(F.col("b").isNotNull(), r2).alias("r2"), F.col("n").alias("n_points"))
+    return rest.select(*KEY, F.exp("a").alias("lambda_0"), F.greatest(-F.col("b"), F.when(F.col("b").isNotNull(), 0.0)).alias("kappa"), F.when(F.col("b").isNotNull(), r2).alias("r2"), F.when(F.col("n") >= 3, F.col("n")).otherwise(0).alias("n_points"))
+
+
+def t_two_sided(t: Column, df: Column) -> Column:
+    """P(|T| >= |t|) of Student's t with a whole number of degrees of freedom, by its finite series."""
+    theta = F.atan(F.abs(t) / F.sqrt(df))
+    cos2 = F.pow(F.cos(theta), 2)
+    odd = df % 2 == 1
+    first = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
+    # Even: sum of cos^2k (1 3 .. 2k-1)/(2 4 .. 2k); odd: sum of cos^(2k+1) (2 4 .. 2k)/(3 5 .. 2k+1).
+    ratio = lambda k: F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+    last = F.floor((df - F.when(odd, 3).otherwise(2)) / 2)
+    begin = F.struct(first.alias("term"), first.alias("sum"))
+
+    def step(acc: Column, k: Column) -> Column:
+        term = acc["term"] * cos2 * ratio(k)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    series = F.aggregate(F.when(last >= 1, F.sequence(F.lit(1), last.cast("int"))).otherwise(F.array().cast("array<int>")), begin, step)["sum"]
+    inside = F.when(odd, 2 / math.pi * (theta + F.when(df > 1, F.sin(theta) * series).otherwise(0.0))).otherwise(F.sin(theta) * series)
+    return F.greatest(F.lit(0.0), 1 - inside)
 
 
 def fit_ols(hist: DataFrame) -> DataFrame:
-    """Unweighted fit of ln(intensity): kappa, lambda_0, r2, std_error, n_points; nulls below three points."""
+    """Unweighted fit of ln(intensity): kappa, lambda_0, r2, p_value (slope 0), std_error, n_points; nulls below three points."""
     p = hist.where("count > 0").withColumn("y", F.ln("intensity"))
     agg = p.groupBy(*KEY).agg(F.count("*").alias("n"), F.regr_slope("y", "center").alias("b"), F.regr_intercept("y", "center").alias("a"), F.regr_r2("y", "center").alias("r2"), F.regr_sxx("y", "center").alias("sxx"), F.regr_syy("y", "center").alias("syy"))
-    se = F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("r2")) * F.col("syy")) / (F.col("n") - 2) / F.col("sxx"))
+    agg = agg.withColumn("se", F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("r2")) * F.col("syy")) / F.when(F.col("n") > 2, F.col("n") - 2) / F.col("sxx")))
     ok = lambda c: F.when(F.col("n") >= 3, c)
-    return agg.select(*KEY, ok(F.greatest(-F.col("b"), F.lit(0.0))).alias("kappa"), ok(F.exp("a")).alias("lambda_0"), ok(F.col("r2")).alias("r2"), ok(F.when(F.col("n") > 2, se)).alias("std_error"), F.col("n").alias("n_points"))
+    # An exact line has no spread: its slope is 0 for sure, or not.
+    p_value = F.when(F.col("se") > 0, t_two_sided(F.col("b") / F.when(F.col("se") > 0, F.col("se")), F.col("n") - 2)).otherwise(F.when(F.col("b") == 0, 1.0).otherwise(0.0))
+    return agg.select(*KEY, ok(F.greatest(-F.col("b"), F.lit(0.0))).alias("kappa"), ok(F.exp("a")).alias("lambda_0"), ok(F.col("r2")).alias("r2"), ok(p_value).alias("p_value"), ok(F.col("se")).alias("std_error"), F.when(F.col("n") >= 3, F.col("n")).otherwise(0).alias("n_points"))
 
 
 def bounded_exponential(x: np.ndarray, y: np.ndarray, low: tuple[float, float], high: tuple[float, float], start: tuple[float, float], steps: int = 200) -> tuple[float, float]:
@@ -104,21 +128,28 @@ def bounded_exponential(x: np.ndarray, y: np.ndarray, low: tuple[float, float],
 
 
 def fit_nonlinear(hist: DataFrame) -> DataFrame:
-    """Bounded fit of the intensities themselves, lambda_0 >= 0 and 1 <= kappa <= 500; nulls below four points."""
+    """Bounded fit of the intensities themselves, lambda_0 >= 0 and 1 <= kappa <= 500; nulls below four points.
+
+    std_error is kappa's, from the curve's slopes at the solution and the residuals' variance.
+    """
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["intensity"] > 0]
-        row = {"symbol": None, "side": None, "kappa": None, "lambda_0": None, "r2": None, "n_points": 0}
+        row = {"symbol": None, "side": None, "kappa": None, "lambda_0": None, "r2": None, "std_error": None, "n_points": 0}
         if len(pdf) >= 4:
             x, y = pdf["center"].to_numpy(), pdf["intensity"].to_numpy()
             a, k = bounded_exponential(x, y, (0.0, 1.0), (np.inf, 500.0), (float(y.max()), 50.0))
-            total = ((y - y.mean()) ** 2).sum()
-            row |= {"kappa": k, "lambda_0": a, "r2": 1 - ((y - a * np.exp(-k * x)) ** 2).sum() / total if total > 0 else None, "n_points": len(x)}
+            total, e = ((y - y.mean()) ** 2).sum(), np.exp(-k * x)
+            rest = ((y - a * e) ** 2).sum()
+            slopes = np.stack([e, -a * x * e])
+            det = (slopes[0] @ slopes[0]) * (slopes[1] @ slopes[1]) - (slopes[0] @ slopes[1]) ** 2
+            error = float(np.sqrt(rest / (len(x) - 2) * (slopes[0] @ slopes[0]) / det)) if det > 0 else None
+            row |= {"kappa": k, "lambda_0": a, "r2": 1 - rest / total if total > 0 else None, "std_error": error, "n_points": len(x)}
         return pd.DataFrame([row])
 
     def keyed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return one(pdf).assign(symbol=key[0], side=key[1])
 
-    return hist.groupBy(*KEY).applyInPandas(keyed, "symbol string, side string, kappa double, lambda_0 double, r2 double, n_points int")
+    return hist.groupBy(*KEY).applyInPandas(keyed, "symbol string, side string, kappa double, lambda_0 double, r2 double, std_error double, n_points int")
 
 
 def two_sided(fits: DataFrame) -> DataFrame:

@@ -15,13 +15,13 @@ def raw_lambda(trades: DataFrame) -> DataFrame:
     return agg.select("symbol", rate("n_buy").alias("lambda_p"), rate("n_sell").alias("lambda_m"), rate("n_total").alias("lambda_total"), "n_buy", "n_sell", "n_total", "start_us", "end_us")
 
 
-def latest_mid(prices: DataFrame) -> DataFrame:
+def latest_mid(prices: DataFrame, shard: str = "file_name") -> DataFrame:
     """symbol, bid, ask, mid: each side from the newest shard that has it, at its latest time (first row on ties).
 
-    ``prices`` has file_name and a row order, ``sequence``.  Without both sides a symbol has no row.
+    ``prices`` has a row order, ``sequence``, and the column ``shard``, which sorts shards by age.  Without both sides a symbol has no row.
     """
     side = F.lower("side")
-    newest = lambda s: F.max_by(F.when(side == s, F.col("price")), F.when((side == s) & F.col("price").isNotNull(), F.struct("file_name", "us", (-F.col("sequence")).alias("k"))))
+    newest = lambda s: F.max_by(F.when(side == s, F.col("price")), F.when((side == s) & F.col("price").isNotNull(), F.struct(shard, "us", (-F.col("sequence")).alias("k"))))
     both = prices.groupBy("symbol").agg(newest("bid").alias("bid"), newest("ask").alias("ask"))
     return both.where("bid is not null and ask is not null").withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
 

@@ -45,9 +45,34 @@ def sample_times(df: DataFrame, horizon: float, steps: int, points: int = 50) ->
     return df.join(F.broadcast(at), "n")  # ``points`` rows
 
 
-def simulation_metrics(paths: DataFrame, horizon: float) -> DataFrame:
-    """path_id, final_pnl, fills, max_inventory, sharpe of paths with n, pnl, q, fills_p, fills_m."""
-    diffs = difference(paths, "pnl", ["path_id"], "n")
-    agg = diffs.groupBy("path_id").agg(F.max_by("pnl", "n").alias("final_pnl"), F.sum(F.col("fills_p") + F.col("fills_m")).alias("fills"), F.max(F.abs("q")).alias("max_inventory"), F.avg("d_pnl").alias("m"), F.stddev_pop("d_pnl").alias("s"), F.count("d_pnl").alias("k"))
+def simulation_metrics(paths: DataFrame, horizon: float, keys: tuple[str, ...] = ("path_id",)) -> DataFrame:
+    """``keys``, final_pnl, fills, max_inventory, sharpe of paths with n, pnl, q, fills_p, fills_m."""
+    diffs = difference(paths, "pnl", list(keys), "n")
+    agg = diffs.groupBy(*keys).agg(F.max_by("pnl", "n").alias("final_pnl"), F.sum(F.col("fills_p") + F.col("fills_m")).alias("fills"), F.max(F.abs("q")).alias("max_inventory"), F.avg("d_pnl").alias("m"), F.stddev_pop("d_pnl").alias("s"), F.count("d_pnl").alias("k"))
     sharpe = F.when(F.col("s") > 0, F.try_divide(F.col("m"), F.col("s")) * F.sqrt(F.col("k") / horizon)).otherwise(0.0)
-    return agg.select("path_id", "final_pnl", "fills", "max_inventory", sharpe.alias("sharpe"))
+    return agg.select(*keys, "final_pnl", "fills", "max_inventory", sharpe.alias("sharpe"))
+
+
+def dashboard(paths: DataFrame, horizon: float, steps: int) -> DataFrame:
+    """A path's plotted series: symbol, path_id, t, pnl, q, s, and both sides' fills so far."""
+    t = F.col("n") * (horizon / steps)
+    run = cumulative(paths, ["fills_p", "fills_m"], ["symbol", "path_id"], "n")
+    return run.select("symbol", "path_id", t.alias("t"), "pnl", "q", "s", F.col("cum_fills_p").alias("sold"), F.col("cum_fills_m").alias("bought"))
+
+
+def surface_samples(surface: DataFrame, horizon: float, steps: int, points: int = 50) -> DataFrame:
+    """The surface at evenly spaced times, infinite depths as null: what heat map and depth surfaces show."""
+    at = sample_times(surface, horizon, steps, points)
+    return at.select("symbol", "sample_t", "q", "h", finite(F.col("delta_plus")).alias("delta_plus"), finite(F.col("delta_minus")).alias("delta_minus"))
+
+
+def depth_lines(surface: DataFrame, q_min: int, q_max: int) -> DataFrame:
+    """Depths over time at the bounds, half-way to them and at no inventory; infinite ones as null."""
+    shown = sorted({q_min, q_min // 2, 0, q_max // 2, q_max})
+    return surface.where(F.col("q").isin(shown)).select("symbol", "t", "q", finite(F.col("delta_plus")).alias("delta_plus"), finite(F.col("delta_minus")).alias("delta_minus"))
+
+
+def model_curves(observed: DataFrame, lam: Column, kappa: Column) -> DataFrame:
+    """Observed, true and fitted fill probabilities and intensities over depth."""
+    prob = F.exp(-kappa * F.col("delta"))
+    return observed.select("delta", "prob_observed", "prob_true", prob.alias("prob_fit"), "lambda_observed", "lambda_true", (lam * prob).alias("lambda_fit"))

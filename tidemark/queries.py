@@ -6,18 +6,20 @@ Ticks are stand-ins (see ``tidemark.sources.standin``): gaps are minutes, so lag
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import control, impact, kappa, normalise, quotes, rates, report, score, series, simulate, windows
-from tidemark.sources import standin
+from tidemark.sources import standin, ticks
 
 MINUTES = 30 * 24 * 60
 LAG_US = 500_000_000
 HOUR_US = 3_600_000_000
 BALANCE = 1_000_000.0
+HORIZON, STEPS, PATHS = 30.0, 50, 16
 
 
 def _r(c: str | Column, digits: int = 6, name: str | None = None) -> Column:
@@ -52,7 +54,11 @@ def raw_lambda(spark, d):
 
 
 def latest_mid(spark, d):
-    return _rounded(rates.latest_mid(standin.prices(spark, d)))
+    return _rounded(rates.latest_mid(ticks.newest_shards(standin.prices(spark, d))))
+
+
+def newest_shards(spark, d):
+    return ticks.newest_shards(standin.prices(spark, d), 3).groupBy("symbol", "file_name", "side").agg(F.count("*").alias("n"), F.max("us").alias("last_us"))
 
 
 def window_bounds(spark, d):
@@ -79,7 +85,7 @@ def kappa_fit_ols(spark, d):
 
 
 def kappa_fit_nonlinear(spark, d):
-    return kappa.fit_nonlinear(_hist(spark, d))
+    return kappa.fit_nonlinear(_hist(spark, d)).select("symbol", "side", *[_r(c, 4) for c in ("kappa", "lambda_0", "r2")], _r("std_error", 1), "n_points")
 
 
 def impacts(spark, d):
@@ -90,6 +96,29 @@ def epsilon_estimates(spark, d):
     return _rounded(impact.estimates(_impacts(spark, d)))
 
 
+def impact_histogram(spark, d):
+    return _rounded(impact.impact_histogram(_impacts(spark, d)))
+
+
+def size_impact(spark, d):
+    t, q = _inputs(spark, d)
+    sized = t.withColumn("size", (F.col("trade_id") % 9 + 1).cast("double"))
+    return _rounded(impact.size_impact(impact.impacts(sized, q, HOUR_US, HOUR_US, ("size",))))
+
+
+def parameter_join(spark, d):
+    """Symbols that lack one side's kappa, epsilon or rates."""
+    p = standin.params(spark, d).withColumn("k", F.substring("symbol", 2, 9).cast("int"))
+    some = lambda c, rest: F.when(F.col("k") % 6 != rest, F.col(c)).alias(c)
+    k, e = p.select("symbol", some("kappa_p", 1), "kappa_m"), p.select("symbol", "epsilon_p", some("epsilon_m", 2))
+    return _rounded(quotes.parameters(k, e, p.where("k % 6 <> 3").select("symbol", some("lambda_p", 4), "lambda_m"), p.where("k % 6 <> 5")))
+
+
+def spread_log_bps(spark, d):
+    mid = F.col("mid") - 100
+    return standin.params(spark, d).select("symbol", (F.isnan(quotes.spread_bps(F.col("epsilon_p"), mid))).alias("undefined"), _r(series.finite(quotes.spread_bps(F.col("epsilon_p"), mid)), 6, "bps"))
+
+
 def toxicity(spark, d):
     return _rounded(impact.toxicity(standin.params(spark, d)))
 
@@ -110,11 +139,23 @@ def hjb_symmetric(spark, d):
 
 
 def hjb_asymmetric(spark, d):
-    return control.asymmetric(standin.params(spark, d))
+    return _rounded(control.asymmetric(standin.params(spark, d)))
+
+
+def _finite(df: DataFrame) -> DataFrame:
+    return _rounded(df.select(*[series.finite(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]))
 
 
 def hjb_surface(spark, d):
-    return control.surface(standin.params(spark, d), 30.0, 50)
+    return _finite(control.surface(standin.params(spark, d), HORIZON, STEPS))
+
+
+def time_samples(spark, d):
+    return _rounded(series.surface_samples(control.surface(standin.params(spark, d), HORIZON, STEPS), HORIZON, STEPS, 20))
+
+
+def depth_lines(spark, d):
+    return _rounded(series.depth_lines(control.surface(standin.params(spark, d), HORIZON, STEPS), -3, 3))
 
 
 def quote_ladder(spark, d):
@@ -126,8 +167,7 @@ def bot_quotes(spark, d):
     p = standin.params(spark, d)
     key = F.substring("symbol", 2, 9).cast("int")
     asked = p.select("symbol", F.explode(F.sequence(F.lit(-5), F.lit(5))).alias("q"), "mid", (key % 5 == 0).alias("is_short"), (F.col("mid") * 1.01).alias("proposed_rate"), (F.col("mid") * 0.99).alias("current_order_rate"))
-    grid = control.symmetric(p.where(key % 4 != 3))
-    return _rounded(quotes.bot_quotes(asked, grid))
+    return _rounded(quotes.bot_quotes(asked, control.symmetric(p)))
 
 
 def entry_signals(spark, d):
@@ -242,14 +282,29 @@ def sim_metrics(spark, d):
     return _rounded(series.simulation_metrics(_paths(spark, d), 30.0))
 
 
+def _simulated(spark, d):
+    p = standin.params(spark, d)
+    markets = p.withColumns({"s0": F.col("mid"), "sigma": F.lit(0.01)})
+    return simulate.paths(control.surface(p, HORIZON, STEPS), markets, PATHS, HORIZON, STEPS, 7)
+
+
 def simulated_paths(spark, d):
-    grid = control.surface(standin.params(spark, d).where("symbol = 'S1'"), 30.0, 200)
-    market = {"s0": 100.0, "sigma": 0.01, "lambda_p": 2.0, "lambda_m": 2.0, "kappa_p": 5.0, "kappa_m": 5.0, "epsilon_p": 0.01, "epsilon_m": 0.01}
-    return series.simulation_metrics(simulate.paths(grid, 64, 30.0, 200, market, 7), 30.0)
+    return _rounded(series.simulation_metrics(_simulated(spark, d), HORIZON, ("symbol", "path_id")))
+
+
+def dashboard_series(spark, d):
+    return _rounded(series.dashboard(_simulated(spark, d), HORIZON, STEPS))
+
+
+_SYNTHETIC = (50.0, 60.0, 0.1, 1)
 
 
 def synthetic_calibration(spark, d):
-    return simulate.calibrate(simulate.observations(spark, 50.0, 60.0, 0.1, 1), simulate.jumps(spark, 0.005, 0.1, 3))
+    return simulate.calibrate(simulate.observations(spark, *_SYNTHETIC), simulate.jumps(spark, 0.005, 0.1, 3)).select(_r("kappa", 4), _r("lambda", 4), _r("epsilon", 9))
+
+
+def model_curves(spark, d):
+    return _rounded(series.model_curves(simulate.observations(spark, *_SYNTHETIC), F.lit(49.5), F.lit(59.8)), 9)
 
 
 def fill_probability(spark, d):
@@ -265,10 +320,10 @@ def scalar_functions(spark, d):
 
 
 _QUERY_NAMES = (
-    "raw_lambda latest_mid window_bounds trade_depths depth_histogram kappa_fit kappa_fit_ols kappa_fit_nonlinear impacts epsilon_estimates toxicity static_spread "
-    "one_side_optimum hjb_symmetric hjb_asymmetric hjb_surface quote_ladder bot_quotes entry_signals inventory_level trade_summary trade_extremes pnl_by_pair pnl_by_strategy open_trades "
-    "daily_returns sharpe_loss drawdown book_flatten bbo_explode trade_normalise ingest_rates fill_ffill neighbour_shift cumulative_fills sim_metrics simulated_paths "
-    "synthetic_calibration fill_probability scalar_functions"
+    "raw_lambda latest_mid newest_shards window_bounds trade_depths depth_histogram kappa_fit kappa_fit_ols kappa_fit_nonlinear impacts epsilon_estimates impact_histogram size_impact parameter_join spread_log_bps toxicity static_spread "
+    "one_side_optimum hjb_symmetric hjb_asymmetric hjb_surface time_samples depth_lines quote_ladder bot_quotes entry_signals inventory_level trade_summary trade_extremes pnl_by_pair pnl_by_strategy open_trades "
+    "daily_returns sharpe_loss drawdown book_flatten bbo_explode trade_normalise ingest_rates fill_ffill neighbour_shift cumulative_fills sim_metrics simulated_paths dashboard_series "
+    "synthetic_calibration model_curves fill_probability scalar_functions"
 ).split()
 QUERIES = {n: globals()[n] for n in _QUERY_NAMES}
 
@@ -323,6 +378,94 @@ w AS (SELECT symbol, unnest(range(-3, 4))::INTEGER AS q, unnest(acc) AS omega FR
 h0 AS (SELECT symbol, q, ln(omega) / kk AS lg, kk, epsilon_p, epsilon_m FROM w JOIN a USING (symbol)),
 h AS (SELECT symbol, q, lg - max(lg) OVER (PARTITION BY symbol) AS h, kk, epsilon_p, epsilon_m FROM h0),
 hjb AS (SELECT symbol, q, h, 1 / kk + epsilon_p - (coalesce(lag(h) OVER o, h) - h) AS delta_plus, 1 / kk + epsilon_m - (coalesce(lead(h) OVER o, h) - h) AS delta_minus FROM h WINDOW o AS (PARTITION BY symbol ORDER BY q))"""
+def _newton() -> str:
+    """The asymmetric problem as a recursion over Newton's iterations: old and new values of seven grid points."""
+    q = range(1, 8)
+    down = {i: f"(n{i - 1} - n{i})" if i > 1 else "0.0::DOUBLE" for i in q}
+    up = {i: f"(n{i + 1} - n{i})" if i < 7 else "0.0::DOUBLE" for i in q}
+    each = lambda f: ", ".join(f(i) for i in q)
+    top = lambda c: f"greatest({each(lambda i: f'{c}{i}')})"
+    far = lambda e: f"greatest({each(lambda i: f'abs({e(i)})')}) < 1e-8"
+    layers = [
+        each(lambda i: f"lambda_p / kappa_p * exp(-kappa_p * (1 / kappa_p + epsilon_p - {down[i]})) AS vp{i}, lambda_m / kappa_m * exp(-kappa_m * (1 / kappa_m + epsilon_m - {up[i]})) AS vm{i}"),
+        each(lambda i: f"n{i} - o{i} - 0.3::DOUBLE * (vp{i} + vm{i} + {i - 4} * (lambda_p * epsilon_p - lambda_m * epsilon_m)) AS f{i}, {f'-0.3::DOUBLE * kappa_p * vp{i}' if i > 1 else '0.0::DOUBLE'} AS l{i}, {f'-0.3::DOUBLE * kappa_m * vm{i}' if i < 7 else '0.0::DOUBLE'} AS u{i}"),
+        "u1 / (1 - l1 - u1) AS c1, -f1 / (1 - l1 - u1) AS d1",  # Thomas' algorithm: forward
+        *[x for i in q if i > 1 for x in (f"1 - l{i} - u{i} - l{i} * c{i - 1} AS m{i}", f"u{i} / m{i} AS c{i}, (-f{i} - l{i} * d{i - 1}) / m{i} AS d{i}")],
+        "d7 AS s7",  # and back
+        *[f"d{i} - c{i} * s{i + 1} AS s{i}" for i in range(6, 0, -1)],
+        each(lambda i: f"n{i} + 0.7::DOUBLE * s{i} AS w{i}"),
+        f"{top('w')} AS wx, {far(lambda i: f'f{i}')} AS still",
+        each(lambda i: f"w{i} - wx AS t{i}"),
+        f"{each(lambda i: f'CASE WHEN still THEN n{i} ELSE t{i} END AS r{i}')}, still OR itr = 49 OR {far(lambda i: f't{i} - n{i}')} AS fin",
+        f"{top('r')} AS mx",
+    ]
+    inner = "SELECT * FROM nt JOIN p USING (symbol) WHERE stp < 200"
+    for layer in layers:
+        inner = f"SELECT *, {layer} FROM ({inner})"
+    return f"""{_PARAMS},
+nt AS (SELECT symbol, 0 AS stp, 0 AS itr, {each(lambda i: f"0.0::DOUBLE AS o{i}")}, {each(lambda i: f"0.0::DOUBLE AS n{i}")} FROM p
+  UNION ALL
+  SELECT symbol, stp + fin::INTEGER, CASE WHEN fin THEN 0 ELSE itr + 1 END, {each(lambda i: f"CASE WHEN fin THEN r{i} - mx ELSE o{i} END")}, {each(lambda i: f"CASE WHEN fin THEN r{i} - mx ELSE r{i} END")} FROM ({inner})),
+asy AS (SELECT symbol, kappa_p, kappa_m, epsilon_p, epsilon_m, unnest(range(-3, 4))::INTEGER AS q, unnest([{each(lambda i: f"n{i}")}]) AS h FROM nt JOIN p USING (symbol) WHERE stp = 200),
+asd AS (SELECT symbol, q, h, 1 / kappa_p + epsilon_p - (coalesce(lag(h) OVER o, h) - h) AS delta_plus, 1 / kappa_m + epsilon_m - (coalesce(lead(h) OVER o, h) - h) AS delta_minus FROM asy WINDOW o AS (PARTITION BY symbol ORDER BY q))"""
+
+
+_SURFACE = f"""{_PARAMS},
+c AS (SELECT *, greatest(1e-8, (kappa_p + kappa_m) / 2) AS kk FROM p),
+g AS (SELECT *, lambda_p * exp(-1 - kk * epsilon_p) AS down, lambda_m * exp(-1 - kk * epsilon_m) AS up, kk * (lambda_p * epsilon_p - lambda_m * epsilon_m) AS drift FROM c),
+a AS (SELECT *, 3 * abs(drift) AS cc, list_transform(range(-3, 4), lambda x: x * drift + 3 * abs(drift)) AS diag, unnest(range({STEPS + 1}))::INTEGER AS n, ({STEPS} - n) * {HORIZON / STEPS}::DOUBLE AS tau FROM g),
+it AS (SELECT symbol, n, 0 AS r, [1.0::DOUBLE, 1, 1, 1, 1, 1, 1] AS term, [1.0::DOUBLE, 1, 1, 1, 1, 1, 1] AS acc FROM a
+  UNION ALL
+  SELECT symbol, n, r + 1, nx, list_transform(range(1, 8), lambda i: acc[i] + nx[i]) FROM (
+    SELECT it.symbol, it.n, r, acc, list_transform(range(1, 8), lambda i: (diag[i] * term[i] + down * CASE WHEN i > 1 THEN term[i - 1] ELSE 0 END + up * CASE WHEN i < 7 THEN term[i + 1] ELSE 0 END) * tau / (r + 1)) AS nx
+    FROM it JOIN a ON it.symbol = a.symbol AND it.n = a.n WHERE r < 150)),
+w AS (SELECT symbol, n, unnest(range(-3, 4))::INTEGER AS q, unnest(acc) AS omega FROM it WHERE r = 150),
+sf AS (SELECT w.symbol, w.n, w.n * {HORIZON / STEPS}::DOUBLE AS t, q, (ln(omega) - cc * tau) / kk AS h, kk, epsilon_p, epsilon_m FROM w JOIN a ON w.symbol = a.symbol AND w.n = a.n),
+srf AS (SELECT symbol, n, t, q, h, 1 / kk + epsilon_p - (lag(h) OVER o - h) AS delta_plus, 1 / kk + epsilon_m - (lead(h) OVER o - h) AS delta_minus FROM sf WINDOW o AS (PARTITION BY symbol, n ORDER BY q))"""
+
+
+def _u(*parts: str) -> str:
+    """The uniform number of some parts."""
+    return f"((('0x' || substr(md5(concat_ws('-', {', '.join(parts)})), 1, 12))::BIGINT + 0.5::DOUBLE) / {1 << 48}::DOUBLE)"
+
+
+def _gauss(*parts: str) -> str:
+    return f"""(sqrt(-2 * ln({_u(*parts, "'a'")})) * cos({2 * math.pi!r}::DOUBLE * {_u(*parts, "'b'")}))"""
+
+
+_DT = HORIZON / STEPS
+_MASSES = f"list_transform(range(0, 60), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-m) * pow(m, j) / gamma(j + 1))))"
+_COINS = lambda s: f"list_transform(range(1, c_{s} + 1), lambda j: {_u('7', 'symbol', 'path_id', 'n', repr(s), 'j')})"
+_SIMULATED = f"""{_SURFACE},
+cdf AS (SELECT symbol, side, {_MASSES} AS l FROM (SELECT symbol, 'p' AS side, lambda_p * {_DT}::DOUBLE AS m FROM p UNION ALL SELECT symbol, 'm', lambda_m * {_DT}::DOUBLE FROM p)),
+dr AS (SELECT symbol, path_id, n, {", ".join(f"(SELECT len(list_filter(l, lambda x: x < u_{s})) FROM cdf WHERE cdf.symbol = z.symbol AND side = '{s}') AS c_{s}" for s in "pm")}, w FROM (
+  SELECT symbol, path_id, n, {", ".join(f"{_u('7', 'symbol', 'path_id', 'n', repr(s))} AS u_{s}" for s in "pm")}, {_gauss("7", "symbol", "path_id", "n", "'w'")} AS w
+  FROM (SELECT symbol, unnest(range({PATHS})) AS path_id FROM p), (SELECT unnest(range({STEPS})) AS n)) z),
+cn AS (SELECT symbol, path_id, n, c_p, c_m, w, {_COINS("p")} AS up, {_COINS("m")} AS um FROM dr),
+gr AS (SELECT symbol, n, list(coalesce(delta_plus, 'inf'::DOUBLE) ORDER BY q) AS ask, list(coalesce(delta_minus, 'inf'::DOUBLE) ORDER BY q) AS bid FROM srf GROUP BY 1, 2),
+wk AS (SELECT symbol, path_id, 0 AS n, mid AS s, 0 AS q, 0.0::DOUBLE AS x, 0 AS fp, 0 AS fm FROM p, (SELECT unnest(range({PATHS})) AS path_id)
+  UNION ALL
+  SELECT symbol, path_id, n + 1, s + c_p * epsilon_p - c_m * epsilon_m + 0.01::DOUBLE * sqrt({_DT}::DOUBLE) * w, q + gm - gp, x + CASE WHEN gp > 0 THEN gp * (s + dp) ELSE 0 END - CASE WHEN gm > 0 THEN gm * (s - dm) ELSE 0 END, gp, gm FROM (
+    SELECT *, len(list_filter(up, lambda v: v < CASE WHEN dp <= 0 THEN 1 ELSE exp(-kappa_p * dp) END))::INTEGER AS gp, len(list_filter(um, lambda v: v < CASE WHEN dm <= 0 THEN 1 ELSE exp(-kappa_m * dm) END))::INTEGER AS gm FROM (
+      SELECT wk.symbol, wk.path_id, wk.n, s, wk.q, x, c_p, c_m, w, up, um, kappa_p, kappa_m, epsilon_p, epsilon_m, ask[greatest(-3, least(3, wk.q)) + 4] AS dp, bid[greatest(-3, least(3, wk.q)) + 4] AS dm
+      FROM wk JOIN cn ON wk.symbol = cn.symbol AND wk.path_id = cn.path_id AND wk.n = cn.n JOIN gr ON gr.symbol = wk.symbol AND gr.n = wk.n JOIN p ON p.symbol = wk.symbol))),
+pt AS (SELECT symbol, path_id, n, s, lead(q, 1, q) OVER o AS q, lead(x, 1, x) OVER o AS x, lead(fp, 1, 0) OVER o AS fills_p, lead(fm, 1, 0) OVER o AS fills_m FROM wk WINDOW o AS (PARTITION BY symbol, path_id ORDER BY n)),
+pp AS (SELECT *, x + q * s AS pnl FROM pt)"""
+
+
+def _zoom(points: str, keys: str, low: float, high: float, least: float, most: str, first: str) -> str:
+    """Tables za and zb: the best k of ``a exp(-k x)`` for the lists xs, ys of ``points``, on grids that narrow around the best."""
+    loss = f"""SELECT *, list_sum(list_transform(range(1, len(xs) + 1), lambda i: (ys[i] - a * exp(-k * xs[i])) * (ys[i] - a * exp(-k * xs[i])))) AS loss FROM (
+        SELECT *, least({most}, greatest({least}::DOUBLE, list_dot_product(list_transform(xs, lambda x: exp(-k * x)), ys) / list_sum(list_transform(xs, lambda x: exp(-2 * k * x))))) AS a FROM %s)"""
+    pick = f"SELECT {keys}, any_value(xs) AS xs, any_value(ys) AS ys, arg_min(k, loss) AS k, arg_min(a, loss) AS a, arg_min(b, loss) AS b, arg_min(e, loss) AS e FROM (%s) GROUP BY {keys}"
+    start = f"(SELECT *, coalesce(lag(k) OVER o, k) AS b, coalesce(lead(k) OVER o, k) AS e FROM (SELECT *, unnest({first}) AS k FROM {points}) WINDOW o AS (PARTITION BY {keys} ORDER BY k))"
+    out = [f"z0 AS ({pick % (loss % start)})"]
+    for i in range(1, 6):
+        grid = f"(SELECT {keys}, xs, ys, greatest({low}::DOUBLE, b + (e - b) * j / 100) AS k, greatest({low}::DOUBLE, b + (e - b) * (j - 1) / 100) AS b, least({high}::DOUBLE, b + (e - b) * (j + 1) / 100) AS e FROM (SELECT *, unnest(range(101)) AS j FROM z{i - 1}))"
+        out.append(f"z{i} AS ({pick % (loss % grid)})")
+    return ",\n".join(out)
+
+
 _JOURNAL = """j AS (SELECT o_orderkey AS id, o_orderpriority AS pair, 'C' || (o_custkey % 3) AS strategy, (o_orderstatus = 'O')::INTEGER AS is_open, o_orderdate AS open_date,
 CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + to_days((1 + o_orderkey % 90)::INTEGER) END AS close_date,
 CASE WHEN o_orderstatus <> 'O' THEN (o_totalprice - 250000) / o_totalprice END AS close_profit, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice - 250000 END AS close_profit_abs,
@@ -347,13 +490,25 @@ ORACLES = {
         SELECT symbol, {_z("n_buy / s", 9, "lambda_p")}, {_z("n_sell / s", 9, "lambda_m")}, {_z("n_total / s", 9, "lambda_total")}, n_buy, n_sell, n_total, start_us, end_us FROM a""",
     "latest_mid": f"""WITH {_TICKS}, l AS (SELECT symbol, bid, ask FROM q QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY sequence // 1000 DESC, us DESC, sequence) = 1)
         SELECT symbol, {_RD(6, "bid", "ask")}, {_z("(bid + ask) / 2", 6, "mid")} FROM l""",
+    "newest_shards": f"""WITH {_TICKS}, x AS (SELECT symbol, lpad((sequence // 1000)::VARCHAR, 9, '0') AS file_name, us FROM q QUALIFY dense_rank() OVER (PARTITION BY symbol ORDER BY sequence // 1000 DESC) <= 3)
+        SELECT symbol, file_name, unnest(['bid', 'ask']) AS side, n, last_us FROM (SELECT symbol, file_name, count(*) AS n, max(us) AS last_us FROM x GROUP BY 1, 2)""",
     "window_bounds": f"WITH {_CUT} SELECT symbol, e - {_SPAN} AS start_us, e AS end_us, lo AS overlap_start_us, hi AS overlap_end_us FROM lim JOIN ov USING (symbol)",
     "trade_depths": f"WITH {_DEPTHS} SELECT symbol, side, us, trade_id, sequence, {_RD(6, 'price', 'depth')} FROM dep",
     "depth_histogram": f'WITH {_HIST} SELECT symbol, side, bin, "count", {_RD(9, "center", "intensity")} FROM hist',
-    "kappa_fit": f"WITH {_FIT} SELECT symbol, side, {_z('exp(a)', 6, 'lambda_0')}, {_z('CASE WHEN b IS NOT NULL THEN greatest(-b, 0.0::DOUBLE) END', 6, 'kappa')}, {_z('CASE WHEN b IS NOT NULL AND tot > 0 THEN 1 - res / tot END', 6, 'r2')}, n_points FROM f",
-    "kappa_fit_ols": f"""WITH {_HIST}, o AS (SELECT symbol, side, count(*) AS n, regr_slope(ln(intensity), center) AS b, regr_intercept(ln(intensity), center) AS a, regr_r2(ln(intensity), center) AS r2, regr_sxx(ln(intensity), center) AS sxx, regr_syy(ln(intensity), center) AS syy FROM hist WHERE "count" > 0 GROUP BY 1, 2)
-        SELECT symbol, side, {_z("CASE WHEN n >= 3 THEN greatest(-b, 0.0::DOUBLE) END", 6, "kappa")}, {_z("CASE WHEN n >= 3 THEN exp(a) END", 6, "lambda_0")}, {_z("CASE WHEN n >= 3 THEN r2 END", 6, "r2")},
-        {_z("CASE WHEN n >= 3 THEN sqrt(greatest(0.0::DOUBLE, (1 - r2) * syy) / (n - 2) / sxx) END", 6, "std_error")}, n AS n_points FROM o""",
+    "kappa_fit": f"WITH {_FIT} SELECT symbol, side, {_z('exp(a)', 6, 'lambda_0')}, {_z('CASE WHEN b IS NOT NULL THEN greatest(-b, 0.0::DOUBLE) END', 6, 'kappa')}, {_z('CASE WHEN b IS NOT NULL AND tot > 0 THEN 1 - res / tot END', 6, 'r2')}, CASE WHEN n_points >= 3 THEN n_points ELSE 0 END AS n_points FROM f",
+    "kappa_fit_ols": f"""WITH {_HIST}, o AS (SELECT symbol, side, count(*) AS n, regr_slope(ln(intensity), center) AS b, regr_intercept(ln(intensity), center) AS a, regr_r2(ln(intensity), center) AS r2, regr_sxx(ln(intensity), center) AS sxx, regr_syy(ln(intensity), center) AS syy FROM hist WHERE "count" > 0 GROUP BY 1, 2),
+        o2 AS (SELECT *, sqrt(greatest(0.0::DOUBLE, (1 - r2) * syy) / nullif(greatest(n - 2, 0), 0) / sxx) AS se, n - 2 AS df, atan(abs(b / nullif(se, 0)) / sqrt(df)) AS th FROM o WHERE n >= 3),
+        o3 AS (SELECT *, CASE WHEN df % 2 = 1 THEN {2 / math.pi!r}::DOUBLE * (th + CASE WHEN df > 1 THEN sin(th) * list_sum(list_transform(range(0, (df - 1) // 2), lambda k: pow(cos(th), 2 * k + 1) * coalesce(list_aggregate(list_transform(range(1, k + 1), lambda j: 2.0::DOUBLE * j / (2 * j + 1)), 'product'), 1))) ELSE 0 END)
+            ELSE sin(th) * list_sum(list_transform(range(0, df // 2), lambda k: pow(cos(th), 2 * k) * coalesce(list_aggregate(list_transform(range(1, k + 1), lambda j: (2.0::DOUBLE * j - 1) / (2 * j)), 'product'), 1))) END AS inside FROM o2)
+        SELECT o.symbol, o.side, {_z("CASE WHEN o.n >= 3 THEN greatest(-o.b, 0.0::DOUBLE) END", 6, "kappa")}, {_z("CASE WHEN o.n >= 3 THEN exp(o.a) END", 6, "lambda_0")}, {_z("CASE WHEN o.n >= 3 THEN o.r2 END", 6, "r2")},
+        {_z("CASE WHEN o.n >= 3 THEN CASE WHEN se > 0 THEN greatest(0.0::DOUBLE, 1 - inside) WHEN o.b = 0 THEN 1.0 ELSE 0.0 END END", 6, "p_value")}, {_z("se", 6, "std_error")}, CASE WHEN o.n >= 3 THEN o.n ELSE 0 END AS n_points FROM o LEFT JOIN o3 USING (symbol, side)""",
+    "kappa_fit_nonlinear": f"""WITH {_HIST}, pts AS (SELECT symbol, side, list(center ORDER BY bin) AS xs, list(intensity ORDER BY bin) AS ys FROM hist WHERE "count" > 0 GROUP BY 1, 2 HAVING count(*) >= 4),
+        {_zoom("pts", "symbol, side", 1.0, 500.0, 0.0, "'inf'::DOUBLE", f"list_transform(range(0, 1001), lambda i: exp({math.log(500)!r}::DOUBLE * i / 1000))")},
+        v AS (SELECT symbol, side, k, a, len(xs) AS n, list_avg(ys) AS ym, list_transform(xs, lambda x: exp(-k * x)) AS ex, xs, ys FROM z5),
+        v2 AS (SELECT *, list_sum(list_transform(range(1, n + 1), lambda i: (ys[i] - a * ex[i]) * (ys[i] - a * ex[i]))) AS rest, list_sum(list_transform(ys, lambda y: (y - ym) * (y - ym))) AS tot, list_dot_product(ex, ex) AS ee,
+            list_sum(list_transform(range(1, n + 1), lambda i: a * a * xs[i] * xs[i] * ex[i] * ex[i])) AS dd, list_sum(list_transform(range(1, n + 1), lambda i: -a * xs[i] * ex[i] * ex[i])) AS ed FROM v)
+        SELECT s.symbol, s.side, {_z("k", 4, "kappa")}, {_z("a", 4, "lambda_0")}, {_z("CASE WHEN tot > 0 THEN 1 - rest / tot END", 4, "r2")}, {_z("CASE WHEN ee * dd - ed * ed > 0 THEN sqrt(rest / (n - 2) * ee / (ee * dd - ed * ed)) END", 1, "std_error")}, coalesce(n, 0)::INTEGER AS n_points
+        FROM (SELECT DISTINCT symbol, side FROM hist) s LEFT JOIN v2 USING (symbol, side)""",
     "impacts": f"WITH {_IMPACTS} SELECT symbol, side, us, trade_id, {_z('impact')} FROM imp",
     "epsilon_estimates": f"""WITH {_IMPACTS}, st AS (SELECT symbol, side, avg(impact) m, stddev_pop(impact) s FROM imp GROUP BY 1, 2),
         k AS (SELECT imp.* FROM imp JOIN st USING (symbol, side) WHERE s = 0 OR abs(impact - m) < 3.0::DOUBLE * s),
@@ -361,17 +516,32 @@ ORACLES = {
         e AS (SELECT symbol, side, avg(impact) FILTER (n <= 2 OR (rn > floor(0.1::DOUBLE * n) AND rn <= floor(0.9::DOUBLE * n))) AS epsilon, avg(impact) AS mean, median(impact) AS median, stddev_pop(impact) AS std, count(*) AS n FROM rk GROUP BY 1, 2),
         sd AS (SELECT DISTINCT symbol, unnest(['buy', 'sell']) AS side FROM imp)
         SELECT symbol, side, {", ".join(_z(f"coalesce({c}, 0.0::DOUBLE)", 6, c) for c in ("epsilon", "mean", "median", "std"))}, coalesce(n, 0) AS n FROM sd LEFT JOIN e USING (symbol, side)""",
+    "impact_histogram": f"""WITH {_IMPACTS}, e0 AS (SELECT symbol, side, min(impact) AS a, max(impact) AS b FROM imp GROUP BY 1, 2),
+        e AS (SELECT symbol, side, CASE WHEN a = b THEN a - 0.5 ELSE a END AS a, CASE WHEN a = b THEN b + 0.5 ELSE b END AS b FROM e0), ee AS (SELECT *, (b - a) / 20 AS width FROM e),
+        pl AS (SELECT imp.symbol, imp.side, impact, a, width, least(floor((impact - a) / width), 19) AS g FROM imp JOIN ee ON imp.symbol = ee.symbol AND imp.side = ee.side),
+        n AS (SELECT symbol, side, CASE WHEN impact < a + g * width THEN g - 1 WHEN impact >= a + (g + 1) * width AND g < 19 THEN g + 1 ELSE g END::INTEGER AS bin, count(*) AS n FROM pl GROUP BY 1, 2, 3),
+        f AS (SELECT symbol, side, a, width, unnest(range(20))::INTEGER AS bin FROM ee)
+        SELECT f.symbol, f.side, f.bin, {_z("a + f.bin * width", 6, "low")}, {_z("a + (f.bin + 1) * width", 6, "high")}, coalesce(n, 0) AS "count" FROM f LEFT JOIN n ON f.symbol = n.symbol AND f.side = n.side AND f.bin = n.bin""",
+    "size_impact": f"""WITH {_IMPACTS} SELECT symbol, side, {_z("regr_slope(impact, sqrt(trade_id % 9 + 1))", 6, "slope")}, {_z("regr_intercept(impact, sqrt(trade_id % 9 + 1))", 6, "intercept")}, count(*) AS n FROM imp GROUP BY 1, 2 HAVING count(*) > 3""",
+    "parameter_join": f"""WITH {_PARAMS} SELECT symbol, {_RD(6, "kappa_p", "kappa_m", "epsilon_p", "epsilon_m")}, {_z("CASE WHEN k % 6 NOT IN (3, 4) THEN lambda_p ELSE 0.0::DOUBLE END", 6, "lambda_p")},
+        {_z("CASE WHEN k % 6 <> 3 THEN lambda_m ELSE 0.0::DOUBLE END", 6, "lambda_m")}, {_z("CASE WHEN k % 6 <> 5 THEN mid END", 6, "mid")} FROM p WHERE k % 6 NOT IN (1, 2)""",
+    "spread_log_bps": f"WITH {_PARAMS} SELECT symbol, mid <= 100 AS undefined, {_z('CASE WHEN mid > 100 THEN epsilon_p / (mid - 100) * 1e4 END', 6, 'bps')} FROM p",
     "toxicity": f"WITH {_PARAMS}, x AS (SELECT symbol, greatest(kappa_p * epsilon_p, kappa_m * epsilon_m) AS kappa_epsilon FROM p) SELECT symbol, {_z('kappa_epsilon')}, CASE WHEN kappa_epsilon >= 2 THEN 'toxic' WHEN kappa_epsilon >= 1 THEN 'competitive' ELSE 'manageable' END AS toxicity FROM x",
     "static_spread": f"WITH {_PARAMS}, x AS (SELECT symbol, mid, 1 / kappa_p + epsilon_p AS delta_p, 1 / kappa_m + epsilon_m AS delta_m FROM p) SELECT symbol, {_RD(6, 'delta_p', 'delta_m')}, {_z('delta_p * 100 / mid', 6, 'pct_p')}, {_z('delta_m * 100 / mid', 6, 'pct_m')} FROM x",
     "one_side_optimum": f"""WITH {_PARAMS}, x AS (SELECT symbol, lambda_p AS l, kappa_p AS k, epsilon_p AS e, (mid - 100) / 400 AS dh, 1 / kappa_p + epsilon_p - (mid - 100) / 400 AS z FROM p)
         SELECT symbol, {_z("z", 6, "depth")}, {_z("l / k * exp(-k * z)", 6, "value")}, {_z("greatest(z, 0.0::DOUBLE)", 6, "clipped_depth")}, {_z("CASE WHEN z <= 0 THEN greatest(l * (dh - e), 0.0::DOUBLE) ELSE l / k * exp(-k * z) END", 6, "clipped_value")} FROM x""",
     "hjb_symmetric": f"WITH RECURSIVE {_HJB} SELECT symbol, q, {_RD(6, 'h', 'delta_plus', 'delta_minus')}, 'symmetric' AS method FROM hjb",
+    "hjb_asymmetric": f"WITH RECURSIVE {_newton()} SELECT symbol, q, {_RD(6, 'h', 'delta_plus', 'delta_minus')}, 'asymmetric' AS method FROM asd",
+    "hjb_surface": f"WITH RECURSIVE {_SURFACE} SELECT symbol, n, {_z('t')}, q, {_RD(6, 'h', 'delta_plus', 'delta_minus')} FROM srf",
+    "time_samples": f"""WITH RECURSIVE {_SURFACE}, ts AS (SELECT unnest(range(20)) * {HORIZON}::DOUBLE / 19 AS sample_t), tn AS (SELECT sample_t, floor(sample_t * {STEPS - 1} / {HORIZON}::DOUBLE)::INTEGER AS n FROM ts)
+        SELECT symbol, {_z("sample_t")}, q, {_RD(6, "h", "delta_plus", "delta_minus")} FROM srf JOIN tn USING (n)""",
+    "depth_lines": f"WITH RECURSIVE {_SURFACE} SELECT symbol, {_z('t')}, q, {_RD(6, 'delta_plus', 'delta_minus')} FROM srf WHERE q IN (-3, -2, 0, 1, 3)",
     "quote_ladder": f"""WITH RECURSIVE {_HJB}, x AS (SELECT hjb.symbol, q, mid, delta_minus + 0.00015::DOUBLE * mid * 2 AS b, delta_plus + 0.00015::DOUBLE * mid * 2 AS s FROM hjb JOIN p USING (symbol))
         SELECT symbol, q, {_z("mid - b", 6, "bid_px")}, {_z("mid + s", 6, "ask_px")}, {_z("b / mid * 1e4", 6, "bid_bps")}, {_z("s / mid * 1e4", 6, "ask_bps")} FROM x""",
     "bot_quotes": f"""WITH RECURSIVE {_HJB}, rq AS (SELECT symbol, unnest(range(-5, 6))::INTEGER AS q, mid, k % 5 = 0 AS is_short, mid * 1.01::DOUBLE AS proposed_rate, mid * 0.99::DOUBLE AS current_order_rate FROM p),
         x AS (SELECT rq.*, greatest(-3, least(3, rq.q)) AS q_used FROM rq),
         y AS (SELECT x.*, mid - (delta_minus + 0.00015::DOUBLE * mid * 2) AS bid, mid + (delta_plus + 0.00015::DOUBLE * mid * 2) AS ask, (delta_minus + 0.00015::DOUBLE * mid * 2) / mid * 1e4 AS bb, (delta_plus + 0.00015::DOUBLE * mid * 2) / mid * 1e4 AS ab
-              FROM x LEFT JOIN (SELECT symbol, q AS qq, delta_plus, delta_minus FROM hjb JOIN p USING (symbol) WHERE k % 4 <> 3) z ON x.symbol = z.symbol AND x.q_used = z.qq)
+              FROM x LEFT JOIN (SELECT symbol, q AS qq, delta_plus, delta_minus FROM hjb) z ON x.symbol = z.symbol AND x.q_used = z.qq)
         SELECT symbol, q, {_RD(6, "mid", "proposed_rate", "current_order_rate")}, is_short, q_used, {_z("CASE WHEN NOT is_short THEN bid END", 6, "entry_price")}, {_z("CASE WHEN NOT is_short THEN coalesce(ask, proposed_rate) END", 6, "exit_price")},
         {_z("CASE WHEN NOT is_short THEN coalesce(bid, current_order_rate) END", 6, "adjust_price")}, {_z("bb", 6, "bid_bps")}, {_z("ab", 6, "ask_bps")} FROM y""",
     "entry_signals": f"WITH {_PARAMS} SELECT symbol, (k % 7 <> 6 AND k % 2 = 0 AND k % 3 <> 0 AND k < 20)::INTEGER AS enter_long, 0 AS exit_long FROM p",
@@ -405,6 +575,19 @@ ORACLES = {
     "sim_metrics": f"""WITH s AS (SELECT user_id % 4 AS path_id, event_id AS n, value AS pnl FROM events), d AS (SELECT *, pnl - lag(pnl) OVER (PARTITION BY path_id ORDER BY n) AS dp FROM s),
         a AS (SELECT path_id, arg_max(pnl, n) AS final_pnl, sum(n % 2 + n % 3)::BIGINT AS fills, max(abs(n % 7 - 3)) AS max_inventory, avg(dp) AS m, stddev_pop(dp) AS sd, count(dp) AS k FROM d GROUP BY 1)
         SELECT path_id, {_z("final_pnl")}, fills, max_inventory, {_z("CASE WHEN sd > 0 THEN m / sd * sqrt(k / 30.0::DOUBLE) ELSE 0.0 END", 6, "sharpe")} FROM a""",
+    "simulated_paths": f"""WITH RECURSIVE {_SIMULATED}, d AS (SELECT *, pnl - lag(pnl) OVER (PARTITION BY symbol, path_id ORDER BY n) AS dp FROM pp),
+        m AS (SELECT symbol, path_id, arg_max(pnl, n) AS final_pnl, sum(fills_p + fills_m)::BIGINT AS fills, max(abs(q)) AS max_inventory, avg(dp) AS m, stddev_pop(dp) AS sd, count(dp) AS k FROM d GROUP BY 1, 2)
+        SELECT symbol, path_id, {_z("final_pnl")}, fills, max_inventory, {_z(f"CASE WHEN sd > 0 THEN m / sd * sqrt(k / {HORIZON}::DOUBLE) ELSE 0.0 END", 6, "sharpe")} FROM m""",
+    "dashboard_series": f"""WITH RECURSIVE {_SIMULATED} SELECT symbol, path_id, {_z(f"n * {_DT}::DOUBLE", 6, "t")}, {_z("pnl")}, q, {_z("s")}, (sum(fills_p) OVER o)::BIGINT AS sold, (sum(fills_m) OVER o)::BIGINT AS bought FROM pp WINDOW o AS (PARTITION BY symbol, path_id ORDER BY n)""",
+    "synthetic_calibration": f"""WITH ob AS (SELECT i, i * 0.05::DOUBLE / 99 AS x, greatest(0.0::DOUBLE, 50 * exp(-60 * (i * 0.05::DOUBLE / 99)) + {_gauss("1", "i", "'l'")} * 0.1::DOUBLE * 50 * 0.2::DOUBLE) AS y FROM (SELECT unnest(range(100)) AS i)),
+        pts AS (SELECT 1 AS one, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys FROM ob),
+        {_zoom("pts", "one", 0.0, 300.0, 0.0, "200.0::DOUBLE", f"list_concat([0.0::DOUBLE], list_transform(range(0, 1001), lambda i: 1e-6::DOUBLE * exp({math.log(3e8)!r}::DOUBLE * i / 1000)))")},
+        jp AS (SELECT avg(greatest(1e-5, {0.005 / 3!r}::DOUBLE * pow(1 - {_u("3", "i", "'j'")}, {-1 / 1.5!r}::DOUBLE) + {_gauss("3", "i", "'n'")} * 0.1::DOUBLE * 0.005::DOUBLE * 0.5::DOUBLE)) AS epsilon FROM (SELECT unnest(range(10000)) AS i))
+        SELECT {_z("k", 4, "kappa")}, {_z("a", 4, '"lambda"')}, {_z("epsilon", 9)} FROM z5, jp""",
+    "model_curves": f"""WITH ob AS (SELECT i, i * 0.05::DOUBLE / 99 AS delta FROM (SELECT unnest(range(100)) AS i)),
+        o2 AS (SELECT i, delta, exp(-60 * delta) AS prob_true, 50 * exp(-60 * delta) AS lambda_true, exp(-59.8::DOUBLE * delta) AS prob_fit, 49.5::DOUBLE * exp(-59.8::DOUBLE * delta) AS lambda_fit FROM ob)
+        SELECT {_RD(9, "delta", "prob_true", "lambda_true", "prob_fit", "lambda_fit")}, {_z(f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, prob_true + {_gauss('1', 'i', chr(39) + 'p' + chr(39))} * 0.1::DOUBLE * 0.1::DOUBLE))", 9, "prob_observed")},
+        {_z(f"greatest(0.0::DOUBLE, lambda_true + {_gauss('1', 'i', chr(39) + 'l' + chr(39))} * 0.1::DOUBLE * 50 * 0.2::DOUBLE)", 9, "lambda_observed")} FROM o2""",
     "fill_probability": f"WITH {_PARAMS} SELECT symbol, {_z('CASE WHEN mid <= 100 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, exp(-kappa_p * ((mid - 100) / 200))) END', 6, 'prob')} FROM p",
     "scalar_functions": f"""SELECT o_orderkey, concat_ws(' ', {_DUR.format(s="(o_orderkey * 37 % 200000)")}) AS duration, CASE WHEN round(o_totalprice - 250000) > 0 THEN 'gain' WHEN round(o_totalprice - 250000) < 0 THEN 'loss' ELSE 'flat' END AS sign,
         o_orderpriority AS symbol, 'a|b|' || o_orderkey AS names FROM orders""",

@@ -1,4 +1,4 @@
-"""Streaming: raw messages to tick shards, and re-calibration after every micro-batch.
+"""Streaming: raw messages to the tick store, and re-calibration after every micro-batch.
 
 Raw drops are JSON lines ``{"timestamp": seconds, "value": "<message>"}``, a folder for each kind of message.
 """
@@ -9,6 +9,7 @@ import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidemark.operators import normalise
@@ -23,35 +24,24 @@ def raw_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) ->
     return spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def ingest(spark: SparkSession, raw: str, store: str, kind: str, checkpoint: str, seconds: int | None = 60, **options) -> StreamingQuery:
-    """Normalise and append Parquet shards by symbol, exactly once (the file sink's log); ``seconds`` None drains and stops."""
-    rows = KINDS[kind](raw_stream(spark, raw), **options)
-    writer = rows.writeStream.format("parquet").option("compression", "zstd").option("checkpointLocation", checkpoint).partitionBy("symbol")
+def ingest(spark: SparkSession, raw: str, root: str, kind: str, checkpoint: str, seconds: int | None = 60, **options) -> StreamingQuery:
+    """Normalise and append to the tick store, exactly once (the file sink's log); ``seconds`` None drains and stops."""
+    rows = KINDS[kind](raw_stream(spark, raw), **options).where("timestamp is not null").withColumn("hour", ticks.hour_of(F.col("timestamp")))
+    writer = rows.writeStream.format("parquet").option("compression", "zstd").option("checkpointLocation", checkpoint).partitionBy("symbol", "hour")
     trigger = {"availableNow": True} if seconds is None else {"processingTime": f"{seconds} seconds"}
-    return writer.trigger(**trigger).start(f"{store}/{kind}")
+    return writer.trigger(**trigger).start(f"{root}/{kind}")
 
 
-def read_store(spark: SparkSession, store: str, kind: str, levels: int = 20) -> DataFrame:
-    """What ``ingest`` wrote, with microseconds."""
-    from tidemark.sources import schemas
+def recalibrate(spark: SparkSession, raw_trigger: str, root: str, out: str, checkpoint: str, seconds: int | None = 15, on_error: Callable[[int, Exception], None] | None = None, **options) -> StreamingQuery:
+    """After every micro-batch of ``raw_trigger`` the store's trailing window is calibrated anew and upserted.
 
-    return ticks.with_us(spark.read.schema(schemas.of(kind, levels).add("symbol", "string")).parquet(f"{store}/{kind}"))
-
-
-def recalibrate(spark: SparkSession, raw_trigger: str, out: str, checkpoint: str, load: Callable[[], tuple[DataFrame, DataFrame, DataFrame | None]], seconds: int | None = 15, on_error: Callable[[int, Exception], None] | None = None, **options) -> StreamingQuery:
-    """After every micro-batch of ``raw_trigger`` the trailing window is calibrated anew and upserted.
-
-    The window is anchored at the data's end, not at the clock's slots, so this is a batch job a trigger.  A failed or
-    empty calibration leaves the last good rows; the generation is the batch's number.
+    The window is anchored at the data's end, not at the clock's slots, so this is a batch job a trigger, over the
+    window's hours only.  A failed or empty calibration leaves the last good rows; the generation is the batch's number.
     """
-    from tidemark.plans.calibrate import calibrate
 
     def step(_: DataFrame, number: int) -> None:
         try:
-            trades, books, mids = load()
-            rows = calibrate(trades, books, mids, generation=number, **options)
-            if rows.limit(1).count():
-                ticks.upsert_params(rows, out)
+            calibrate_store(spark, root, out, generation=number, **options)
         except Exception as e:  # the stream goes on with the last good parameters; the caller is told
             if on_error is None:
                 raise
@@ -89,4 +79,30 @@ class Watchdog(StreamingQueryListener):
         return [k for k, t in self.seen.items() if now - t > self.idle_seconds]
 
 
-__all__ = ["KINDS", "RAW", "Watchdog", "calibrate_store", "ingest", "raw_stream", "read_store", "recalibrate"]
+def supervise(start: Callable[[], StreamingQuery], dog: Watchdog, attempts: int = 3, backoff: float = 5.0, poll: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> None:
+    """Keep a query alive: one that failed or is stale is stopped and started again.
+
+    Returns when the query ends by itself.  After ``attempts`` starts in a row that failed the process exits with
+    status 1, for whatever restarts the process; rows already committed stay.
+    """
+    query = start()
+    while True:
+        if not query.isActive and query.exception() is None:
+            return
+        if query.isActive and str(query.id) not in dog.stale():
+            sleep(poll)
+            continue
+        if query.isActive:
+            query.stop()
+        for failed in range(1, attempts + 1):
+            sleep(backoff)
+            try:
+                query = start()
+                dog.seen[str(query.id)] = time.monotonic()
+                break
+            except Exception as e:
+                if failed == attempts:
+                    raise SystemExit(1) from e
+
+
+__all__ = ["KINDS", "RAW", "Watchdog", "calibrate_store", "ingest", "raw_stream", "recalibrate", "supervise"]
