@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import discard, materialize
+from tidemark.llm.shared import discard, materialize, partitions_of
+
+#: Edges of a file at least, where there are so many; a round of a small graph is a few tasks, not one a partition.
+FILE_EDGES = 50_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,6 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(new) == mark or not new[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = tuple(new)
-        old, large = edges, materialize(_star(edges, True), "edges")
-        edges = materialize(_star(large, False), "edges")
+        files = min(partitions_of(edges.sparkSession), 1 + new[0] // FILE_EDGES)
+        old, large = edges, materialize(_star(edges, True).coalesce(files), "edges")
+        edges = materialize(_star(large, False).coalesce(files), "edges")
         discard(old, large)
