@@ -26,6 +26,8 @@ def test_messages(spark):
     assert sorted((r["symbol"], r["side"], r["trade_id"], r["price"]) for r in t.collect()) == [("A", "buy", "None", 1.0), ("A", "sell", "5", 1.0), ("B", "buy", "1", 3.0), ("C", "sell", "1", 3.0)]
     k = normalise.book_rows(raw(spark, {"channel": "l2Book", "data": {"coin": "A", "time": 7, "levels": [[level(1)], [level(2), level(3), level(4)]]}}), 2)
     books, k = k, k.first()
+    one = normalise.book_rows(raw(spark, {"channel": "l2Book", "data": {"coin": "A", "time": 8, "levels": [[level(1)]]}}, {"coin": "B", "time": 9}, "not a message"), 1)
+    assert sorted(map(tuple, one.collect())) == [("A", 1.5, 8, 8, None, None, None, None), ("B", 1.5, 9, 9, None, None, None, None)]
     assert (k["bid_price_0"], k["bid_price_1"], k["ask_price_1"], k["sequence"]) == (1.0, None, 3.0, 7)
     assert normalise.book_levels(books, 2).first()["levels"][1]["ask_price"] == 3.0
 

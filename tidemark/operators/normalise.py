@@ -38,11 +38,14 @@ def trade_rows(raw: DataFrame) -> DataFrame:
 
 
 def book_rows(raw: DataFrame, levels: int = 20) -> DataFrame:
-    """One wide row a snapshot: bids are the first list, asks the second; missing levels are null, further ones cut."""
+    """One wide row a snapshot: bids are the first list, asks the second; missing levels are null, further ones cut.
+
+    With fewer than two lists all levels are null.  Text that isn't a message leaves no row.
+    """
     m = raw.select("timestamp", F.from_json("value", schemas.BOOK_MESSAGE).alias("m"))
     ch = F.coalesce((F.col("m.channel") == "l2Book") & F.col("m.data").isNotNull(), F.lit(False))
     pick = lambda f: F.when(ch, F.col(f"m.data.{f}")).otherwise(F.col(f"m.{f}"))
-    m = m.select(F.coalesce(pick("coin"), F.lit("UNKNOWN")).alias("symbol"), "timestamp", pick("time").alias("sequence"), pick("time").alias("exchange_timestamp"), pick("levels").alias("l")).where("size(l) >= 2")
+    m = m.select(F.coalesce(pick("coin"), F.lit("UNKNOWN")).alias("symbol"), "timestamp", pick("time").alias("sequence"), pick("time").alias("exchange_timestamp"), F.when(F.size(pick("levels")) >= 2, pick("levels")).alias("l"), F.coalesce("m.channel", "m.coin", F.col("m.time").cast("string"), F.to_json("m.levels")).alias("some")).where("some is not null")
     wide = []
     for i in range(levels):
         for k, side in enumerate(("bid", "ask")):
