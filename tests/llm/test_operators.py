@@ -146,6 +146,44 @@ def test_mixing(spark, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def slow_level(sizes, weights, total, cap):
+    """min(cap * size, level * weight) for the level at which they add up to ``total``, by halving."""
+    low, high = 0.0, 1e9
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(cap * s, mid * w) for s, w in zip(sizes, weights, strict=True)) < total else (low, mid)
+    return [min(cap * s, high * w) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_mixing_is_the_slow_one(spark):
+    """The documents that are taken: certain copies by size class, then the least odds ratios up to what the target leaves."""
+    rng = np.random.default_rng(4)
+    data = [(i, " ".join(["w"] * int(n)), f"s{int(k)}") for i, (n, k) in enumerate(zip(rng.integers(0, 90, 400), rng.choice(4, 400, p=[0.55, 0.3, 0.1, 0.05]), strict=True))]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    size = F.size(mixing.words(F.col("text"))).cast("long").alias("size")
+    rows = df.select("doc_id", "source", size).select("*", mixing.unit(F.lit(7), "doc_id", "source", "size").alias("u")).collect()
+    names = sorted({r["source"] for r in rows})
+    held = [sum(r["size"] for r in rows if r["source"] == n) for n in names]
+    targets = slow_level(held, [5, 2, 1, 5], sum(held), 3)
+    want = {}
+    for name, target in zip(names, targets, strict=True):
+        mine = [r for r in rows if r["source"] == name]
+        classes = sorted({r["size"].bit_length() for r in mine})
+        sums = [sum(r["size"] for r in mine if r["size"].bit_length() == c) for c in classes]
+        words = slow_level(sums, [(x or 1e-9) * 2 ** (0.1 * c) for c, x in zip(classes, sums, strict=True)], target, 3)
+        mean = {c: min(3, w / x) if x else 0.0 for c, x, w in zip(classes, sums, words, strict=True)}
+        mean = {c: round(m) if abs(m - round(m)) < 1e-9 else m for c, m in mean.items()}
+        left = target - sum(math.floor(mean[c]) * x for c, x in zip(classes, sums, strict=True))
+        p = {c: m - math.floor(m) for c, m in mean.items()}
+        ratio = lambda r, p=p: r["u"] / (1 - r["u"]) / (p[r["size"].bit_length()] / (1 - p[r["size"].bit_length()]))
+        upto = 0
+        want |= {r["doc_id"]: math.floor(mean[r["size"].bit_length()]) for r in mine}
+        for r in sorted((r for r in mine if p[r["size"].bit_length()] > 0), key=lambda r: (ratio(r), r["doc_id"])):
+            want[r["doc_id"]] += upto + r["size"] / 2 <= left
+            upto += r["size"]
+    assert {r["doc_id"]: r["copies"] for r in mixing.mix(df).collect()} == want and len(set(want.values())) > 2
+
+
 def test_mixing_odd_rows(docs):
     got = mixing.mix(docs)
     assert got.count() == len(rows()) and mixing.mixed(docs).columns == docs.columns
