@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import SPACE_RUN, materialize, partitions_of
+from tidemark.llm.shared import SPACE_RUN, materialize, partitions_for
 
 HISTOGRAM_BITS = 16
 BUCKET_ROWS = 2_000
@@ -272,7 +272,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefix = F.shiftrightunsigned(F.col("key"), 64 - HISTOGRAM_BITS)
     counted = {r["prefix"]: r["count"] for r in reps.select(prefix.alias("prefix")).groupBy("prefix").count().collect()}  # 65,536 rows at most
     index = Index(reps, directory(counted, bucket_rows), text_col)
-    owners = max(partitions_of(docs.sparkSession), -(-sum(counted.values()) // OWNER_ROWS))
+    owners = partitions_for(docs.sparkSession, sum(counted.values()), OWNER_ROWS)
     second = T.StructType(
         [T.StructField("bucket", T.IntegerType()), T.StructField("pid", T.LongType()), T.StructField("key", T.LongType()), T.StructField("place", T.LongType())]
         + [T.StructField("keep_id", docs.schema[id_col].dataType)]

@@ -124,6 +124,11 @@ def partitions_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
+    """As many partitions as the session asks for, more where they would have above ``each`` rows."""
+    return max(partitions_of(spark), -(-rows // each))
+
+
 def unit(*cols: Column) -> Column:
     """A repeatable pseudo-random number in (0, 1) from the columns' values."""
     h = F.shiftrightunsigned(F.xxhash64(*cols), 11)

@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.near_dedup import near_deduplicated
-from tidemark.llm.shared import materialize, partitions_of
+from tidemark.llm.shared import materialize, partitions_for
 
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
 MATCHES = 8 - MAX_BITS
 LIST_ROWS = 4096
+#: Prints of a partition at most, each of 70 postings.
+PRINTS = 50_000
 #: Every four of the eight byte positions.
 SETS = list(combinations(range(8), MATCHES))
 
@@ -140,16 +142,16 @@ def links(prints: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     """a, b: links between distinct fingerprints ``prints`` (fp), enough to connect all that are connected."""
     terms = F.array(*[F.struct(F.lit(i).alias("s"), _key(F.col("fp"), p).alias("k")) for i, p in enumerate(SETS)])
     # Prints are few bytes and lists many: the prints are dealt out before they are listed.
-    dealt = prints.select("fp").repartition(partitions_of(prints.sparkSession), "fp")
+    parts = partitions_for(prints.sparkSession, prints.count(), PRINTS)
+    dealt = prints.select("fp").repartition(parts, "fp")
     postings = dealt.select("fp", F.explode(terms).alias("e")).select("e.s", "e.k", "fp")
     counts = postings.groupBy("s", "k").agg(F.count("*").alias("n")).where("n > 1")
     posted = postings.join(counts, ["s", "k"])
-    parts = F.ceil(F.col("n") / list_rows).cast("int")
-    posted = posted.withColumn("parts", parts).withColumn("chunk", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("fp"), F.col("parts"))).otherwise(0).cast("int"))
+    posted = posted.withColumn("parts", F.ceil(F.col("n") / list_rows).cast("int")).withColumn("chunk", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("fp"), F.col("parts"))).otherwise(0).cast("int"))
     single = posted.where("parts = 1").select("s", "k", F.lit(0).alias("ca"), F.lit(0).alias("cb"), "chunk", "fp")
     each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     grid = posted.where("parts > 1").withColumn("o", each).select("s", "k", F.least("chunk", "o").alias("ca"), F.greatest("chunk", "o").alias("cb"), "chunk", "fp")
-    lists = single.unionByName(grid).repartition(partitions_of(prints.sparkSession), "s", "k", "ca", "cb").sortWithinPartitions("s", "k", "ca", "cb", "fp")
+    lists = single.unionByName(grid).repartition(parts, "s", "k", "ca", "cb").sortWithinPartitions("s", "k", "ca", "cb", "fp")
     return lists.mapInArrow(_links, "a long, b long")
 
 

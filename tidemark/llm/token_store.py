@@ -39,12 +39,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import keep, partitions_of, work_path
+from tidemark.llm.shared import keep, partitions_for, work_path
 
 BLOCK = 4096
 END_ID = 2
 MAGIC = b"S8B1"
 CHUNK_IDS = 262_144
+SHARD_ROWS = 100_000
 CACHE_WORDS = 250_000
 STEP_BYTES = 16_000_000
 _BREAK = b"\xff\xff\xff\xff"
@@ -303,7 +304,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_store(docs: DataFrame, tokenizer_path: str, store: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shards: int | None = None) -> None:
     """Encode, sort by doc_id into shards of like row counts, and write the files."""
     spark = docs.sparkSession
-    shards = shards or partitions_of(spark)
+    shards = shards or partitions_for(spark, docs.count(), SHARD_ROWS)
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise TypeError(f"{id_col} must be a whole number")
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
