@@ -261,7 +261,7 @@ def test_scoring_is_the_slow_one(spark):
                 odds, seen = [], []
                 for p, c in enumerate(slow_contexts(raw, at)):
                     n0, n1 = (2 ** (step(counts[p, c, byte >> (8 - b), b, y]) / 6) - 1 for y in (0, 1))
-                    odds.append(math.log((n1 + 0.4) / (n0 + 0.4)))
+                    odds.append(math.log((n1 + 0.05) / (n0 + 0.05)))
                     seen.append(n0 + n1)
                 gate = 0
                 for p in sorted(scoring.GATED):
@@ -271,7 +271,7 @@ def test_scoring_is_the_slow_one(spark):
                 x = max(0, min(scoring.MAP_SIZE - 1.001, z * 1.5 + (scoring.MAP_SIZE - 1) / 2))
                 low = int(x)
                 refined = model.map[gate, low] * (1 - x + low) + model.map[gate, low + 1] * (x - low)
-                p1 = max(1e-7, min(1 - 1e-7, 0.75 * mixed + 0.25 * refined))
+                p1 = max(1e-7, min(1 - 1e-7, 0.5 * mixed + 0.5 * refined))
                 total += math.log10(p1 if byte >> (7 - b) & 1 else 1 - p1)
         return total
 
