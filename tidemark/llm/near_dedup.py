@@ -194,24 +194,34 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
     signed = materialize(picked.mapInArrow(_signed, f"doc_id {kind}, node long, sig binary"), "near-signatures")
-    nodes = materialize(signed.groupBy("node").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "near-nodes")
-    lists = materialize(nodes.select("node", "sig").mapInArrow(_listed, "node long, keys array<long>").select("node", F.explode("keys").alias("key")), "near-postings")
-    sizes = materialize(lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")  # lists of one node are gone
-    hot = materialize(sizes.where(F.col("n") * HOT > lists.count()).select("key"), "near-hot")
-    lists = materialize(on_key(lists, sizes.select("key"), hot, ["key"]), "near-lists")
+    total = signed.count()
+
+    def table(df: DataFrame, name: str, rows: int, each: int = 200_000) -> DataFrame:
+        """``df``, of at most so many rows, as a table: small ones in few tasks and files, large ones in all of theirs."""
+        return materialize(df.coalesce(1 + rows // each), name)
+
+    nodes = table(signed.groupBy("node").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "near-nodes", total, 20_000)
+    lists = table(nodes.select("node", "sig").mapInArrow(_listed, "node long, keys array<long>").select("node", F.explode("keys").alias("key")), "near-postings", total, 20_000)
+    count = lists.count()
+    sizes = table(lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes", count)  # lists of one node are gone
+    hot = table(sizes.where(F.col("n") * HOT > count).select("key"), "near-hot", HOT)
+    lists = table(on_key(lists, sizes.select("key"), hot, ["key"]), "near-lists", count)
+    count = lists.count()
 
     # One text of each listed node, for its set.
     rows = lists.select("node").distinct().join(nodes, "node").select("node", "sig", "doc_id")
     found = picked.join(rows, picked["doc_id"].eqNullSafe(rows["doc_id"])).select("node", "text")
-    sets = materialize(found.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]), "near-sets")
+    sets = table(found.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]), "near-sets", count, 10_000)
     sigs = nodes.select("node", "sig")
 
     def verify(pairs: DataFrame, counted: bool = False) -> DataFrame:
+        """Links among the pairs; ``counted`` ones have passed a tally."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         if not counted:
             both = pairs.join(sigs.toDF("a", "x"), "a").join(sigs.toDF("b", "y"), "b").select("a", "b", "x", "y")
-            pairs = materialize(both.mapInArrow(_counted, "a long, b long"), "near-counted")
-        return pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long")
+            pairs = table(both.mapInArrow(_counted, "a long, b long"), "near-counted", 2 * count, 20_000)
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return table(both.mapInArrow(_verified, "a long, b long"), "near-links", 2 * count, 10_000)
 
     def join_up(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Components, and the rows of the lists that hold several."""
@@ -222,29 +232,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     links, placed = None, lists.withColumn("root", F.col("node"))
     for k in range(rounds):
-        placed = materialize(placed, "near-placed") if k else placed
+        placed = table(placed, "near-placed", count) if k else placed
         spun = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "root")
         ends = placed.groupBy("key").agg(F.min(spun).alias("low"), F.max(spun).alias("high"))
         met = on_key(placed, ends, hot, ["key"]).select("node", "root", F.explode(F.array("low", "high")).alias("end")).where("root <> end.root")
-        new = materialize(verify(met.select(F.col("node").alias("a"), F.col("end.node").alias("b"))), "near-links")
+        new = verify(met.select(F.col("node").alias("a"), F.col("end.node").alias("b")))
         links = new if links is None else links.union(new)
         roots, placed = join_up(links)
     longs = None
     for best in (True, False):
-        placed = materialize(placed, "near-placed")
+        placed = table(placed, "near-placed", count)
         if longs is None:
             new = placed.select("node").distinct().join(sets, "node").select("node", "hashes").mapInArrow(_lengthened, "node long, long binary")
-            longs = materialize(new, "near-long")
+            longs = table(new, "near-long", count, 10_000)
         parts = placed.groupBy("key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
         among = on_key(placed, parts, hot, ["key"]).join(longs, "node")
         among = among.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         met = among.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("chunk", "o").alias("ca"), F.greatest("chunk", "o").alias("cb"), "chunk", "node", "root", "long")
         met = met.repartition(partitions_of(docs.sparkSession), "key", "ca", "cb").sortWithinPartitions("key", "ca", "cb")
-        rest = materialize(met.mapInArrow(_across(best), "a long, b long"), "near-rest")
-        links = links.union(materialize(verify(rest, counted=True), "near-links"))
+        rest = table(met.mapInArrow(_across(best), "a long, b long"), "near-rest", count, 10_000)
+        links = links.union(verify(rest, counted=True))
         roots, placed = join_up(links)
     named = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    named = materialize(named, "near-roots")
+    named = table(named, "near-roots", total)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "root").select("doc_id", "component_id")
 
