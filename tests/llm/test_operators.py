@@ -518,6 +518,13 @@ def test_links_are_complete(spark):
         assert {min(g) for g in mine.values()} == set(want.values()) and len(mine) == len(set(want.values()))
 
 
+def test_postings_are_not_broadcast(spark):
+    """Their estimated size is that of the prints, a 70th; the driver would hold them all."""
+    edges = simhash.links(spark.range(1000).select(F.xxhash64("id").alias("fp")))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}

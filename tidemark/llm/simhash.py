@@ -146,7 +146,8 @@ def links(prints: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     dealt = prints.select("fp").repartition(parts, "fp")
     postings = dealt.select("fp", F.explode(terms).alias("e")).select("e.s", "e.k", "fp")
     counts = postings.groupBy("s", "k").agg(F.count("*").alias("n")).where("n > 1")
-    posted = postings.join(counts, ["s", "k"])
+    # Spark takes the 70 postings of a print for one row, so it would send all of them through the driver as a small table.
+    posted = postings.join(counts.hint("merge"), ["s", "k"])
     posted = posted.withColumn("parts", F.ceil(F.col("n") / list_rows).cast("int")).withColumn("chunk", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("fp"), F.col("parts"))).otherwise(0).cast("int"))
     single = posted.where("parts = 1").select("s", "k", F.lit(0).alias("ca"), F.lit(0).alias("cb"), "chunk", "fp")
     each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
