@@ -222,6 +222,17 @@ def test_codes_are_a_distribution():
     assert len(flat.bytes) == 5 and list(flat.times).count(2) == 2  # a, b shared; their ends not
 
 
+def test_bytes_of_the_same_contexts_are_coded_once():
+    """From the third byte of "the" on, six bytes, the word and the word before are the same; what stands before isn't read."""
+    texts = [b"one of the words", b"two of the words"]
+    flat = scoring.Flat(texts)
+    assert len(flat.bytes) == 2 * 17 - 8 and sorted(flat.times) == [1] * 18 + [2] * 8
+    model = scoring.Model([]).open()
+    for k, table in enumerate(model.tables):
+        table[:] = np.arange(table.size).reshape(table.shape) % (37 + k)
+    assert model.log10(texts) == pytest.approx([model.log10([t])[0] for t in texts], rel=1e-12)
+
+
 def slow_contexts(raw, at):
     """What each predictor knows of the byte at a place: the last k bytes, the word so far, and the word before too."""
     start = at
