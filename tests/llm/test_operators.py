@@ -233,6 +233,32 @@ def test_bytes_of_the_same_contexts_are_coded_once():
     assert model.log10(texts) == pytest.approx([model.log10([t])[0] for t in texts], rel=1e-12)
 
 
+def test_contexts_are_looked_up_once_for_all_their_bytes():
+    """Sorted bytes: an order's contexts with the byte that follows are runs without repeats, and so are whole contexts."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.choice(np.frombuffer(b"abc \nX", np.uint8), 400)) for _ in range(20)]
+    flat = scoring.Flat(texts)
+    for k in scoring.ORDERS:
+        pairs = {(raw[max(0, at - k) : at].rjust(k, b"\0"), raw[at]) for t in texts for raw in [t + scoring.END] for at in range(len(raw))}
+        assert flat.runs(k - 1).sum() == len(pairs) == len(set(zip(flat.context(k - 1).tolist(), flat.bytes.tolist(), strict=True)))
+    assert flat.times.sum() == sum(len(t) + 1 for t in texts)
+    sizes = [sum(len(p) for p, *_ in cut) for cut in scoring._groups(((b"x" * 10, 0, 0) for _ in range(4000)), 100, 4)]
+    assert sum(sizes) == 40_000 and sizes[0] == 100 and all(n <= max(100, sum(sizes[:i]) // 4 + 10) for i, n in enumerate(sizes)) and len(sizes) < 40
+
+
+def test_slots_of_a_byte_lie_together():
+    """Two groups of sixteen slots hold a context's eight bits, in the context's slice; bytes with the same first bits share them."""
+    contexts = np.random.default_rng(4).integers(0, 1 << 40, 256).astype(np.uint64) << np.uint64(24)
+    every = np.arange(256, dtype=np.uint8)
+    for bits in (18, 22):
+        at = scoring.slots(contexts, every, bits)
+        assert (at >= 0).all() and (at < 1 << bits).all() and (at >> scoring.SLICE_BITS == at[0] >> scoring.SLICE_BITS).all()
+        assert (at[:4] >> 4 == at[0] >> 4).all() and (at[4:] >> 4 == at[4] >> 4).all()
+        one = scoring.slots(np.repeat(contexts[:1], 256), every, bits)
+        for b in range(8):
+            assert (one[b] == one[b][every >> (8 - b) << (8 - b)]).all() and (b > 3 or len(set(one[b].tolist())) == 1 << b)
+
+
 def slow_contexts(raw, at):
     """What each predictor knows of the byte at a place: the last k bytes, the word so far, and the word before too."""
     start = at
