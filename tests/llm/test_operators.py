@@ -184,6 +184,33 @@ def test_mixing_is_the_slow_one(spark):
     assert {r["doc_id"]: r["copies"] for r in mixing.mix(df).collect()} == want and len(set(want.values())) > 2
 
 
+def test_new_words_are_encoded_in_order(monkeypatch):
+    """New words' ids come as a list in their order, whether or not some take the library's whole path; packing sorts nothing."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    ids = lambda w: np.array(whole.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    plain = [b"Words,", b"qzxvkj12", b"a-b", "\u00e9t\u00e9".encode()]
+    odd = ["\u0130x".encode(), b"<|x|>", "\u4e2d\u6587".encode()]
+    for words in (plain, plain[:2] + odd + plain[2:], odd):
+        coder = token_store.WordEncoder(path)
+        assert coder._encode(words) == [ids(w) for w in words]
+        assert coder._lookup([b"", *words, b"Words,"[:1]]) == [b"", *map(ids, words), ids(b"W")]
+        monkeypatch.setattr(token_store, "CACHE_WORDS", 0)  # nothing is kept
+        assert token_store.WordEncoder(path)._lookup([*words, b""]) == [*map(ids, words), b""]
+        monkeypatch.undo()
+    some = np.random.default_rng(5).integers(0, 1 << np.random.default_rng(6).integers(1, 59, 20_000), dtype=np.uint64)
+
+    def unused(*_):
+        raise AssertionError("words are made in order")
+
+    monkeypatch.setattr(np, "lexsort", unused)
+    assert (token_store.decode(token_store.encode(some)) == some).all()
+
+
 def test_mixing_odd_rows(docs):
     got = mixing.mix(docs)
     assert got.count() == len(rows()) and mixing.mixed(docs).columns == docs.columns

@@ -92,17 +92,14 @@ def encode(ids: np.ndarray) -> bytes:
     sel = _selectors(wide.ravel()).reshape(wide.shape)
     ends = np.full(n_blocks, BLOCK)
     ends[-1] = n - (n_blocks - 1) * BLOCK
-    at, starts = np.zeros(n_blocks, np.int64), []
-    live = np.arange(n_blocks)
-    while len(live):  # all blocks in step
-        starts.append((live, at[live]))
-        at[live] += COUNTS[sel[live, at[live]]]
-        live = live[at[live] < ends[live]]
-    block = np.concatenate([b for b, _ in starts])
-    place = np.concatenate([p for _, p in starts])
-    order = np.lexsort((place, block))
-    block, place = block[order], place[order]
-    packed, at = wide.ravel(), block * wide.shape[1] + place
+    steps, width, starts = COUNTS.astype(np.uint8)[sel].tobytes(), wide.shape[1], []
+    for first, end in zip(range(0, n_blocks * width, width), ends.tolist(), strict=True):
+        place, end = first, first + end
+        while place < end:  # bytes step faster than arrays of a few blocks
+            starts.append(place)
+            place += steps[place]
+    at = np.array(starts)
+    block, packed = at // width, wide.ravel()
     chosen = sel.ravel()[at]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen):
@@ -181,8 +178,8 @@ class WordEncoder:
                 into[part] = raw[start:end]
                 start = end
 
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of new words: all plain ones are split, looked up and cut apart again as one text."""
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some new words: all plain ones are split, looked up and cut apart again as one text."""
         text = b"\n".join(words).decode()
         plain, odd = words, []
         if not self._all_plain(text) or "<|" in text:
@@ -202,10 +199,13 @@ class WordEncoder:
             self._merge(list(new), merged)
             raw = b"".join([merged[p] if p in merged else parts[p] for p in pieces])
         # Ids are below 2 ** 16, so a break, all ones, lies across no two of them.
-        out = dict(zip(plain, raw.split(_BREAK), strict=True)) if plain else {}
+        split = raw.split(_BREAK) if plain else []
+        if not odd:
+            return split
+        out = dict(zip(plain, split, strict=True))
         for w in odd:
             out[w] = np.array(self.whole.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        return [out[w] for w in words]
 
     def ids(self, texts: pa.Array | list[bytes | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
@@ -240,13 +240,15 @@ class WordEncoder:
         """The ids of distinct words; the empty word, which stands at a text's ends, has none."""
         known = self.known
         found = [known.get(w) for w in distinct]
-        new = [w for w, x in zip(distinct, found, strict=True) if x is None and w]
-        if new:
-            more = self._encode(new)
-            if len(known) + len(more) <= CACHE_WORDS:
-                known.update(more)
-            found = [more.get(w, b"") if x is None else x for w, x in zip(distinct, found, strict=True)]
-        return [x or b"" for x in found]
+        at = [i for i, x in enumerate(found) if x is None]
+        new = [w for i in at if (w := distinct[i])]
+        more = self._encode(new) if new else []
+        if len(known) + len(more) <= CACHE_WORDS:
+            known.update(zip(new, more, strict=True))
+        ids = iter(more)
+        for i in at:
+            found[i] = next(ids) if distinct[i] else b""
+        return found
 
 
 def encoder(path: str) -> WordEncoder:
