@@ -5,6 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -111,6 +112,25 @@ def test_near_dedup_reaches_the_threshold(spark):
     assert 40 < len(want) < len(texts) and {r["doc_id"] for r in kept.collect()} == want
 
 
+def test_workers_keep_no_other_stage(spark):
+    from tidemark.llm import shared
+
+    def parser(batches):
+        shared.keep("parser", lambda: [0])
+        yield from batches
+
+    def left(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(shared._kept)] * batch.num_rows, pa.int64())], ["id"])
+
+    rows = spark.range(0, 32, 1, 16)
+    kept = lambda keeps: {r[0] for r in rows.mapInArrow(shared.lean(left, keeps), "id long").collect()}
+    rows.mapInArrow(shared.lean(parser, keeps=True), "id long").collect()
+    assert kept(True) == {1}
+    corpus_pipeline.near_dedup(spark, make(spark, [(i, f"{i} a b c d e", "en", "s") for i in range(32)]).repartition(16), "").collect()
+    assert kept(True) == {0}
+
+
 def test_empty(spark):
     now = spark.createDataFrame([], COLUMNS)
     for _, stage in corpus_pipeline.STAGES:

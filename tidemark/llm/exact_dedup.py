@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import SPACE_RUN, materialize, partitions_for
+from tidemark.llm.shared import SPACE_RUN, lean, materialize, partitions_for
 
 HISTOGRAM_BITS = 16
 BUCKET_ROWS = 2_000
@@ -262,7 +262,7 @@ def _entries(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         + [T.StructField("row", rows.schema["row"].dataType)]
     )
     arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in first])
-    entries = materialize(rows.mapInArrow(_pre_aggregate(arrow, id_at, text_at), first), "dedup-entries")
+    entries = materialize(rows.mapInArrow(lean(_pre_aggregate(arrow, id_at, text_at)), first), "dedup-entries")
     return entries.where("uid is not null").select("uid", "pid", "member_id", "sha", "key"), entries.where("uid is null").select("pid", "key", "n", "keep_uid", "row")
 
 
@@ -282,7 +282,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in second])
     owned = index.bucket(reps).repartition(owners, "bucket").sortWithinPartitions("bucket", "key").select("bucket", "pid", "key", "n", "keep_uid", "row")
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
-    index.entries = materialize(owned.mapInArrow(_own(arrow, id_at, text_at), second), "dedup-index")
+    index.entries = materialize(owned.mapInArrow(lean(_own(arrow, id_at, text_at)), second), "dedup-index")
     return members, index
 
 

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import keep
+from tidemark.llm.shared import keep, lean
 
 SEGMENTS = 64
 SEGMENT_CHARS = 1_000
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, samples: dict[str, str], id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(samples)  # bounded by the sample's parameters
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(_predict(shared), f"doc_id {kind}, lang_pred string, score double, bits_per_char double")
+    return picked.mapInArrow(lean(_predict(shared), keeps=True), f"doc_id {kind}, lang_pred string, score double, bits_per_char double")
 
 
 def language_id(docs: DataFrame, **sizes) -> DataFrame:
@@ -203,4 +203,4 @@ def recognised(docs: DataFrame, **sizes) -> DataFrame:
             keep = [parser.predict(t.as_py())[0] != UNKNOWN for t in batch.column(text_at).cast(pa.binary())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run, keeps=True), schema)

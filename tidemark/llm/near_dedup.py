@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import HOT, materialize, on_key, partitions_of
+from tidemark.llm.shared import HOT, lean, materialize, on_key, partitions_of
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -193,7 +193,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, component_id (the least doc_id of its component) of every row."""
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    signed = materialize(picked.mapInArrow(_signed, f"doc_id {kind}, node long, sig binary"), "near-signatures")
+    signed = materialize(picked.mapInArrow(lean(_signed), f"doc_id {kind}, node long, sig binary"), "near-signatures")
     total = signed.count()
 
     def table(df: DataFrame, name: str, rows: int, each: int = 200_000) -> DataFrame:
@@ -201,7 +201,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return materialize(df.coalesce(1 + rows // each), name)
 
     nodes = table(signed.groupBy("node").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "near-nodes", total, 20_000)
-    lists = table(nodes.select("node", "sig").mapInArrow(_listed, "node long, keys array<long>").select("node", F.explode("keys").alias("key")), "near-postings", total, 20_000)
+    lists = table(nodes.select("node", "sig").mapInArrow(lean(_listed), "node long, keys array<long>").select("node", F.explode("keys").alias("key")), "near-postings", total, 20_000)
     count = lists.count()
     sizes = table(lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes", count)  # lists of one node are gone
     hot = table(sizes.where(F.col("n") * HOT > count).select("key"), "near-hot", HOT)
@@ -211,7 +211,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # One text of each listed node, for its set.
     rows = lists.select("node").distinct().join(nodes, "node").select("node", "sig", "doc_id")
     found = picked.join(rows, picked["doc_id"].eqNullSafe(rows["doc_id"])).select("node", "text")
-    sets = table(found.mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"]), "near-sets", count, 10_000)
+    sets = table(found.mapInArrow(lean(_sets), "node long, hashes binary").dropDuplicates(["node"]), "near-sets", count, 10_000)
     sigs = nodes.select("node", "sig")
 
     def verify(pairs: DataFrame, counted: bool = False) -> DataFrame:
@@ -219,9 +219,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         if not counted:
             both = pairs.join(sigs.toDF("a", "x"), "a").join(sigs.toDF("b", "y"), "b").select("a", "b", "x", "y")
-            pairs = table(both.mapInArrow(_counted, "a long, b long"), "near-counted", 2 * count, 20_000)
+            pairs = table(both.mapInArrow(lean(_counted), "a long, b long"), "near-counted", 2 * count, 20_000)
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return table(both.mapInArrow(_verified, "a long, b long"), "near-links", 2 * count, 10_000)
+        return table(both.mapInArrow(lean(_verified), "a long, b long"), "near-links", 2 * count, 10_000)
 
     def join_up(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Components, and the rows of the lists that hold several."""
@@ -243,14 +243,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for best in (True, False):
         placed = table(placed, "near-placed", count)
         if longs is None:
-            new = placed.select("node").distinct().join(sets, "node").select("node", "hashes").mapInArrow(_lengthened, "node long, long binary")
+            new = placed.select("node").distinct().join(sets, "node").select("node", "hashes").mapInArrow(lean(_lengthened), "node long, long binary")
             longs = table(new, "near-long", count, 10_000)
         parts = placed.groupBy("key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
         among = on_key(placed, parts, hot, ["key"]).join(longs, "node")
         among = among.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         met = among.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("chunk", "o").alias("ca"), F.greatest("chunk", "o").alias("cb"), "chunk", "node", "root", "long")
         met = met.repartition(partitions_of(docs.sparkSession), "key", "ca", "cb").sortWithinPartitions("key", "ca", "cb")
-        rest = table(met.mapInArrow(_across(best), "a long, b long"), "near-rest", count, 10_000)
+        rest = table(met.mapInArrow(lean(_across(best)), "a long, b long"), "near-rest", count, 10_000)
         links = links.union(verify(rest, counted=True))
         roots, placed = join_up(links)
     named = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import lean, materialize
 from tidemark.llm.token_store import END_ID, encoder
 
 LENGTHS = (1024, 2048, 4096, 8192)
@@ -166,8 +166,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     groups = max(1, -(-n // group_rows), -(-size // group_bytes))
     picked = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    coded = materialize(picked.mapInArrow(_encode(tokenizer_path, end_id), f"doc_id {kind}, ids binary"), "pack-ids")
-    return coded.repartition(groups).mapInArrow(_sequences(tuple(lengths)), f"bin_id long, capacity int, n_tokens int, doc_ids array<{kind}>, pieces array<int>, starts array<int>, lengths array<int>, ids binary")
+    coded = materialize(picked.mapInArrow(lean(_encode(tokenizer_path, end_id), keeps=True), f"doc_id {kind}, ids binary"), "pack-ids")
+    return coded.repartition(groups).mapInArrow(lean(_sequences(tuple(lengths))), f"bin_id long, capacity int, n_tokens int, doc_ids array<{kind}>, pieces array<int>, starts array<int>, lengths array<int>, ids binary")
 
 
 def pieces(sequences: DataFrame) -> DataFrame:
