@@ -298,6 +298,31 @@ def slow_contexts(raw, at):
     return [(k, *(raw[at - j] if at >= j else 0 for j in range(1, k + 1))) for k in scoring.ORDERS] + [("w", raw[start:at].lower()), ("v", raw[start:at].lower(), before)]
 
 
+def test_scoring_leaves_no_model_in_workers(spark):
+    """Workers idle beside the next call's first stage, which runs in the JVM."""
+    import gc
+
+    import pyarrow as pa
+
+    def left(batches):
+        for _ in batches:
+            models = [o for o in gc.get_objects() if isinstance(o, scoring.Model)]
+            yield pa.RecordBatch.from_arrays([pa.array([any(m.tables is not None for m in models)])], ["kept"])
+
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(64)], "doc_id long, text string")
+    assert scoring.score(docs).count() == 64
+    assert not any(r["kept"] for r in spark.range(0, 16, 1, 16).mapInArrow(left, "kept boolean").collect())
+
+
+def test_scoring_tallies_counts_of_any_size():
+    import pyarrow as pa
+
+    texts = [b"a" * 150_000, b"a" * 50_000, b"b"]
+    rows = list(scoring._tally(scoring.TABLE_BITS)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])])))
+    first = np.concatenate([scoring._numbers(r.column(3)[0].as_py()) for r in rows if r.column(0)[0].as_py() == 0])
+    assert sorted(first.tolist()) == [1, 1, 2, 2, 199_998]  # b and its end, ends and beginnings of the others, the rest
+
+
 def test_scoring_is_the_slow_one(spark):
     """Tables, gates, weights and map against a coder that counts in dictionaries and goes bit by bit."""
     train = [b"the cat sat on the mat", b"The dog and the cat", b"on a mat\tsat", b"", "été à la mer".encode(), b"the cat sat on the mat"]
