@@ -323,6 +323,27 @@ def test_scoring_tallies_counts_of_any_size():
     assert sorted(first.tolist()) == [1, 1, 2, 2, 199_998]  # b and its end, ends and beginnings of the others, the rest
 
 
+def test_scoring_tally_is_as_small_as_its_slots(monkeypatch):
+    """Where many keys share few slots a task leaves counts of slots, of the same tables; large counts too."""
+    import pyarrow as pa
+
+    sizes = (18,) * 8
+    texts = [*map(bytes, np.random.default_rng(5).integers(33, 127, (8, 50_000), np.uint8)), b"a" * 150_000]
+    tallied = lambda: list(scoring._tally(sizes)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])])))
+    merged = lambda rows: [(r["predictor"], r["slice"], scoring._large(r["steps"]).tobytes()) for b in scoring._merge(sizes)(iter(sorted(rows, key=lambda r: r.column(0)[0].as_py()))) for r in b.to_pylist()]
+    size = lambda rows: sum(len(x or b"") for r in rows for k in (2, 3) for x in r.column(k).to_pylist())
+    small = tallied()
+    monkeypatch.setattr(scoring, "DENSE_BYTES", 1 << 40)
+    keys = tallied()
+    assert all(x.as_py() is not None for r in keys for x in r.column(2))
+    assert size(small) < 0.35 * size(keys) and len(merged(small)) == 8 and merged(small) == merged(keys)
+    for name, n in (("CODE_BYTES", 100_000), ("TALLY_KEYS", 100_000), ("TALLY_BYTES", 1_000_000)):
+        monkeypatch.setattr(scoring, name, n)
+    assert len(tallied()) > len(keys) and merged(tallied()) == merged(keys)
+    monkeypatch.setattr(scoring, "DENSE_BYTES", 16_384)
+    assert merged(tallied()) == merged(keys)
+
+
 def test_scoring_is_the_slow_one(spark):
     """Tables, gates, weights and map against a coder that counts in dictionaries and goes bit by bit."""
     train = [b"the cat sat on the mat", b"The dog and the cat", b"on a mat\tsat", b"", "été à la mer".encode(), b"the cat sat on the mat"]
