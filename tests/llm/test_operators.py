@@ -344,6 +344,34 @@ def test_scoring_tally_is_as_small_as_its_slots(monkeypatch):
     assert merged(tallied()) == merged(keys)
 
 
+def test_scoring_reads_in_small_batches(monkeypatch):
+    """Texts leave a task as they are coded, a part's tokens some at a time; together they are all of them."""
+    import pyarrow as pa
+
+    class Shared:
+        value = scoring.Model([], (4,) * 8)
+
+    monkeypatch.setattr(scoring, "CODE_BYTES", 2_000)
+    monkeypatch.setattr(scoring, "PART_ROWS", 50, raising=False)
+    texts = [f"word {i} and word {i % 7}" for i in range(900)]
+    model = Shared.value
+    out = list(scoring._read(Shared, model.weights, model.map)(iter([pa.RecordBatch.from_arrays([pa.array(range(900)), pa.array(texts)], ["doc_id", "text"])])))
+    rows = [r for b in out for r in b.to_pylist()]
+    docs, tokens = [r for r in rows if r["token"] is None], {r["number"]: r for r in rows if r["token"] is not None}
+    assert max(b.num_rows for b in out) <= 130 and [r["doc_id"] for r in docs] == list(range(900)) and all(r["score"] < 0 for r in docs)
+    assert Counter({r["token"]: r["c"] for r in tokens.values()}) == Counter(t for i, x in enumerate(texts) if not scoring.held_out(i) for t in scoring.tokens_of(x.encode()))
+    ids = np.cumsum(np.frombuffer(docs[-1]["ids"], "<u4"))
+    assert dict(zip([tokens[i]["token"] for i in ids.tolist()], np.frombuffer(docs[-1]["times"], "<u4").tolist(), strict=True)) == Counter(scoring.tokens_of(texts[-1].encode()))
+
+
+def test_scoring_sends_its_tables_once(spark, monkeypatch):
+    """Each executor keeps a broadcast in memory and on disk."""
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(isinstance(value, scoring.Model)) or send(self, value))
+    assert scoring.score(spark.createDataFrame([(i, f"some text {i}") for i in range(20)], "doc_id long, text string")).count() == 20
+    assert sum(sent) == 1
+
+
 def test_scoring_is_the_slow_one(spark):
     """Tables, gates, weights and map against a coder that counts in dictionaries and goes bit by bit."""
     train = [b"the cat sat on the mat", b"The dog and the cat", b"on a mat\tsat", b"", "été à la mer".encode(), b"the cat sat on the mat"]
